@@ -11,29 +11,35 @@ HOT_ROWS = 100_000
 
 
 def skew_safe_lookup(
-    rows: DataFrame, key: str, values: DataFrame, count: str, payload: list[str], hot_rows: int = HOT_ROWS
+    rows: DataFrame, key: str, values: DataFrame, payload: list[str], count: str | None = None, hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """``rows`` left-joined with ``values`` on ``key``, adding ``payload``.
 
-    ``values`` has one row per key with the number of ``rows`` of that key in
-    ``count``. Hot keys travel as a broadcast, whose size ``hot_rows`` bounds;
-    their rows are not shuffled by key but spread by a number that meets no
-    value. Null keys are spread likewise and get nulls. ``key`` is a bigint.
+    ``values`` has one row per key, and in ``count``, if that is given, about the
+    number of ``rows`` of that key; else the rows are counted here. Hot keys
+    travel as a broadcast, whose size ``hot_rows`` bounds; their rows are not
+    shuffled by key but spread by a hash of the row that meets no value. Null
+    keys are spread likewise and get nulls. ``key`` is a bigint.
     """
     names = [f"__{i}" for i in range(len(payload))]
-    hot = values.filter(F.col(count) > hot_rows).select(
-        F.col(key).alias("__hot"), F.struct(*[F.col(p).alias(n) for p, n in zip(payload, names)]).alias("__hv")
-    )
-    cold = values.filter((F.col(count) <= hot_rows) & F.col(key).isNotNull()).select(
-        F.col(key).alias("__cold"), F.lit(0).alias("__spread"),
-        F.struct(*[F.col(p).alias(n) for p, n in zip(payload, names)]).alias("__cv"),
-    )
+    pack = F.struct(*[F.col(p).alias(n) for p, n in zip(payload, names)])
+    if count is None:
+        many = rows.groupBy(key).agg(F.count("*").alias("__n")).filter((F.col("__n") > hot_rows) & F.col(key).isNotNull())
+        hot = values.join(F.broadcast(many.select(key)), key, "left_semi")
+        cold = values
+    else:
+        hot, cold = values.filter(F.col(count) > hot_rows), values.filter(F.col(count) <= hot_rows)
+    hot = hot.select(F.col(key).alias("__hot"), pack.alias("__hv"))
+    cold = cold.filter(F.col(key).isNotNull()).select(F.col(key).alias("__cold"), F.lit(0).alias("__zero"), pack.alias("__cv"))
     joined = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    plain = [c for c, t in rows.dtypes if "map<" not in t]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(1_000_000)).cast("int") + 1
     away = F.col("__hv").isNotNull() | F.col(key).isNull()
-    joined = joined.withColumn("__spread_l", F.when(away, F.floor(F.rand(7) * 1_000_000).cast("int") + 1).otherwise(0))
-    joined = joined.join(cold, (F.col(key) == F.col("__cold")) & (F.col("__spread_l") == F.col("__spread")), "left")
-    out = joined.withColumn("__v", F.coalesce("__hv", "__cv"))
-    return out.select(*rows.columns, *[F.col(f"__v.{n}").alias(p) for p, n in zip(payload, names)])
+    joined = joined.withColumn("__spread", F.when(away, spread).otherwise(0))
+    joined = joined.join(cold, (F.col(key) == F.col("__cold")) & (F.col("__spread") == F.col("__zero")), "left")
+    found = F.coalesce("__hv", "__cv")
+    return joined.select(*rows.columns, found.alias("__v")).select(*rows.columns, *[F.col(f"__v.{n}").alias(p) for p, n in zip(payload, names)])
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 64) -> DataFrame:
