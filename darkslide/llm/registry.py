@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLE.
-MODULES = ("groups", )
+MODULES = ("best", "groups", "overlaps")
 
 
 def _all(name: str) -> dict:
