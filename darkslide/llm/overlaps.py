@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from darkslide.llm.fm_index import FMIndex
-from darkslide.llm.ties import assigned
+from darkslide.llm.ties import assigned, union_all
 from darkslide.operators.skew import skew_safe_lookup
 from darkslide.sources.tables import table
 
@@ -97,8 +97,9 @@ def cross_split_overlaps(members: DataFrame) -> DataFrame:
 
 def _members(spark: SparkSession, data: str) -> DataFrame:
     runs = table(spark, data, "benchmark_results").filter("run_id is not null")
-    lists = F.array(*[F.struct(F.lit(s).alias("split_name"), F.col(f"{s}_filenames").alias("names")) for s in ("train", "test", "val")])
-    entries = runs.select("run_id", F.explode(lists).alias("l")).select("run_id", "l.split_name", F.explode("l.names").alias("name"))
+    # A union of three explodes: rows of one explode over a list of lists would each carry a whole list.
+    lists = [runs.select("run_id", F.lit(s).alias("split_name"), F.explode(f"{s}_filenames").alias("name")) for s in ("train", "test", "val")]
+    entries = union_all(lists).filter("name is not null")
     entries = entries.select("run_id", "split_name", _name_key("name").alias("key")).filter("key is not null").distinct()
     phash = F.when(F.col("phash").rlike("^[0-9A-Fa-f]{16}$"), F.col("phash"))
     items = table(spark, data, "image_items").filter("item_id is not null and filename is not null")
