@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLE.
-MODULES = ("best", "damage", "groups", "leaks", "overlaps", "tokens")
+MODULES = ("best", "damage", "groups", "leaks", "neighbours", "overlaps", "tokens")
 
 
 def _all(name: str) -> dict:
