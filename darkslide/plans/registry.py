@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLE.
-MODULES = ("problems",)
+MODULES = ("problems", "grouping", "catalogue")
 
 
 def _all(name: str) -> dict:
