@@ -49,3 +49,21 @@ def dense_index(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = w.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__earlier"))
     return w.join(F.broadcast(sizes), "__part").select(*rows.columns, (F.col("__earlier") + F.col("__at")).alias(name))
+
+
+def running_sums(rows: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
+    """``rows`` with each of ``columns`` also summed up to and with the row, as run_<column>, in a total ``order``.
+
+    Sorted ranges are summed one by one and started from the sums of those before,
+    so that no task sees all rows.
+    """
+    from darkslide.operators.shared import Written
+
+    w = Written(rows.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "sorted").df
+    w = w.withColumn("__part", F.shiftrightunsigned("__m", 33))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = w.groupBy("__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
+    totals = totals.select("__part", *[F.coalesce(F.sum(f"__t_{c}").over(earlier), F.lit(0)).alias(f"__e_{c}") for c in columns])
+    inside = Window.partitionBy("__part").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
+    out = w.join(F.broadcast(totals), "__part")
+    return out.select(*rows.columns, *[(F.col(f"__e_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in columns])
