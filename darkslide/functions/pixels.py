@@ -82,7 +82,7 @@ def shrink(a: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def grey(rgb: np.ndarray) -> np.ndarray:
     c = rgb.astype(np.int64)
-    return ((19595 * c[..., 0] + 38470 * c[..., 1] + 7471 * c[..., 2] + 32768) >> 16).astype(np.float32)
+    return ((19595 * c[..., 0] + 38470 * c[..., 1] + 7471 * c[..., 2] + 32768) >> 16).astype(np.float64)
 
 
 def perceptual_hash(rgb: np.ndarray) -> str:
@@ -99,7 +99,7 @@ def perceptual_hash(rgb: np.ndarray) -> str:
 
 
 def _pad(a: np.ndarray) -> np.ndarray:
-    return np.pad(a.astype(np.float32), 1, mode="edge")
+    return np.pad(a.astype(np.float64), 1, mode="edge")
 
 
 def diagonal_sharpness(a: np.ndarray) -> float:
@@ -108,7 +108,7 @@ def diagonal_sharpness(a: np.ndarray) -> float:
 
 
 def _histogram(a: np.ndarray, bins: int) -> np.ndarray:
-    return (np.histogram(a, bins=bins, range=(0, 256))[0] / max(1, a.size)).astype(np.float32)
+    return np.histogram(a, bins=bins, range=(0, 256))[0] / max(1, a.size)
 
 
 def _bits(share: np.ndarray) -> float:
@@ -135,7 +135,8 @@ def composition(g: np.ndarray) -> dict[str, float]:
     centre = g[_middle(g, min(h, w) // 4)]
     lines = (g[:, w // 3], g[:, 2 * w // 3], g[h // 3], g[2 * h // 3])
     spread = float(np.var(g))
-    mirrored = [np.abs(g[:, : w // 2] - g[:, : (w - 1) // 2 : -1][:, : w // 2]), np.abs(g[: h // 2] - g[: (h - 1) // 2 : -1][: h // 2])]
+    x, y = w // 2, h // 2
+    mirrored = [np.abs(g[:, :x] - g[:, x : 2 * x][:, ::-1]), np.abs(g[:y] - g[y : 2 * y][::-1])]
     across = np.abs(np.diff(g, axis=0)).sum(axis=1) / w
     jumps = np.abs(np.diff(g.mean(axis=1)))
     horizon = int(np.argmax(jumps)) if len(jumps) else h // 2
