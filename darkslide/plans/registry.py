@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLE.
-MODULES = ("problems", "grouping", "catalogue", "quality", "objects", "studies")
+MODULES = ("problems", "grouping", "catalogue", "quality", "objects", "studies", "learning")
 
 
 def _all(name: str) -> dict:

@@ -109,7 +109,7 @@ def _basics(vectors: pd.Series) -> pd.DataFrame:
 def x_pixel_basics(spark, data):
     """Features of pictures of 8 x 8 pixels made from the embeddings."""
     e = table(spark, data, "embeddings").select("vec_id", _basics("embedding").alias("f"))
-    return e.select("vec_id", *[F.round(F.col(f"f.{n}"), 3).alias(n) for n in _BASICS])
+    return e.select("vec_id", *[F.round(F.col(f"f.{n}"), 5).alias(n) for n in _BASICS])
 
 
 def x_pixel_vectors(spark, data):
@@ -161,11 +161,11 @@ ORACLE = {
     "x_pixel_basics": """with p as (select vec_id, list_transform(embedding, lambda x: floor(255 * (x::double - list_min(embedding)::double) / (list_max(embedding)::double - list_min(embedding)::double))) as g from embeddings),
 h as (select vec_id, b, n / 64 as q from (select vec_id, floor(x / 4)::int as b, count(*) as n from (select vec_id, unnest(g) as x from p) group by 1, 2)),
 e as (select vec_id, -sum(q::float * log2(q + 1e-12)) as bal, count(case when q > 0.01 then 1 end) / 64 as used from h group by 1)
-select vec_id, round(list_avg(g), 3) as mean, round(sqrt(list_avg(list_transform(g, lambda x: (x - list_avg(g)) ** 2))), 3) as std,
- round(len(list_filter(g, lambda x: x >= 250)) / 64 * 100, 3) as highlights, round(len(list_filter(g, lambda x: x <= 5)) / 64 * 100, 3) as shadows,
- round(bal, 3) as histogram_balance, round(((list_max(g) - list_min(g)) / 255 + used) / 2, 3) as dynamic_range,
+select vec_id, round(list_avg(g), 5) as mean, round(sqrt(list_avg(list_transform(g, lambda x: (x - list_avg(g)) ** 2))), 5) as std,
+ round(len(list_filter(g, lambda x: x >= 250)) / 64 * 100, 5) as highlights, round(len(list_filter(g, lambda x: x <= 5)) / 64 * 100, 5) as shadows,
+ round(bal, 5) as histogram_balance, round(((list_max(g) - list_min(g)) / 255 + used) / 2, 5) as dynamic_range,
  round(1 - (list_avg(list_transform(range(32), lambda k: abs(g[(k // 4) * 8 + k % 4 + 1] - g[(k // 4) * 8 + 7 - k % 4 + 1])))
-          + list_avg(list_transform(range(32), lambda k: abs(g[(k // 8) * 8 + k % 8 + 1] - g[(7 - k // 8) * 8 + k % 8 + 1])))) / 510, 3) as symmetry,
- round(list_avg(list_transform(range(49), lambda k: sqrt((g[(k // 7) * 8 + k % 7 + 2] - g[(k // 7) * 8 + k % 7 + 1]) ** 2 + (g[(k // 7 + 1) * 8 + k % 7 + 1] - g[(k // 7) * 8 + k % 7 + 1]) ** 2))), 3) as edge_strength
+          + list_avg(list_transform(range(32), lambda k: abs(g[(k // 8) * 8 + k % 8 + 1] - g[(7 - k // 8) * 8 + k % 8 + 1])))) / 510, 5) as symmetry,
+ round(list_avg(list_transform(range(49), lambda k: sqrt((g[(k // 7) * 8 + k % 7 + 2] - g[(k // 7) * 8 + k % 7 + 1]) ** 2 + (g[(k // 7 + 1) * 8 + k % 7 + 1] - g[(k // 7) * 8 + k % 7 + 1]) ** 2))), 5) as edge_strength
 from p join e using (vec_id)""",
 }
