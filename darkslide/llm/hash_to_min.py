@@ -47,4 +47,4 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 def _mark(clusters: DataFrame) -> tuple:
     """Count and order-free checksum of the rows, by which two rounds are compared."""
     h = F.xxhash64("v", "u")
-    return tuple(clusters.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 20))).first())
+    return tuple(clusters.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 40))).first())
