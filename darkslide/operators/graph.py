@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         h = F.xxhash64("u", "v")
-        seen = tuple(now.df.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 20))).first())
+        seen = tuple(now.df.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 40))).first())
         if seen == before:
             roots = now.df.select(F.col("v").alias("item")).distinct().withColumn("root", F.col("item"))
             return now.df.select(F.col("u").alias("item"), F.col("v").alias("root")).unionByName(roots)
