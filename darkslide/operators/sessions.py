@@ -77,7 +77,7 @@ def _machine(gap: int):
 
 def _split(done: pd.DataFrame) -> pd.DataFrame:
     keys = done.pop("key")
-    done.insert(0, "key", [k for k, _ in keys])
+    done.insert(0, "key", pd.Series([k for k, _ in keys], dtype=object))
     done.insert(1, "chunk", pd.Series([c for _, c in keys], dtype="int64"))
     return done.astype({"lo": "int64", "hi": "int64", "n": "int64"})
 

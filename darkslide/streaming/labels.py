@@ -34,7 +34,7 @@ def stream_label_states(log: DataFrame) -> DataFrame:
             yield pd.DataFrame([(key[0], *after)], columns=["path", "state", "source"])
 
     kind = "m_seq bigint, m string, a_seq bigint, a string"
-    return log.groupBy("path").applyInPandasWithState(update, "path string, state string, source string", kind, "update", GroupStateTimeout.NoTimeout)
+    return log.groupBy("path").applyInPandasWithState(update, f"path {log.schema['path'].dataType.simpleString()}, state string, source string", kind, "update", GroupStateTimeout.NoTimeout)
 
 
 def _outcome(m_seq: int, m: str, a_seq: int, a: str) -> tuple[str, str]:

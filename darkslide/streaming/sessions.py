@@ -33,7 +33,7 @@ def stream_sessions(events: DataFrame, key: str, ts: str, gap_us: int, lateness:
         if state.hasTimedOut:
             done = timers.close()
             state.remove()
-            yield done.rename(columns={"lo": "start", "hi": "end"})
+            yield _sessions(done)
             return
         at = np.concatenate([b["at"].to_numpy() for b in batches])
         lo, hi, n = at, at, np.ones(len(at), dtype=np.int64)
@@ -49,11 +49,16 @@ def stream_sessions(events: DataFrame, key: str, ts: str, gap_us: int, lateness:
         state.update((int(start), int(end), int(count)))
         # Spark's timers are in milliseconds; one more so that a gap of exactly gap_us still joins.
         state.setTimeoutTimestamp(max(int((end + gap_us) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield done.rename(columns={"lo": "start", "hi": "end"})
+        if len(done):
+            yield _sessions(done)
 
     return e.groupBy("key").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _sessions(done: pd.DataFrame) -> pd.DataFrame:
+    return done.astype({"key": object, "lo": "int64", "hi": "int64", "n": "int64"}).rename(columns={"lo": "start", "hi": "end"})
+
+
 def window_sessions(events: DataFrame, key: str, ts: str, gap: str = "10 minutes", lateness: str = "10 minutes") -> DataFrame:
     """The same by the built-in session window, where no other behaviour at expiry is wanted."""
     e = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).dropna().withWatermark("ts", lateness)
