@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from darkslide.functions import pixels
 from darkslide.operators import study as s
+from darkslide.operators.shared import spread
 from darkslide.plans.grouping import items
 from darkslide.sources.stores import votes
 from darkslide.sources.tables import table
@@ -108,7 +109,7 @@ def _basics(vectors: pd.Series) -> pd.DataFrame:
 
 def x_pixel_basics(spark, data):
     """Features of pictures of 8 x 8 pixels made from the embeddings."""
-    e = table(spark, data, "embeddings").select("vec_id", _basics("embedding").alias("f"))
+    e = spread(table(spark, data, "embeddings").select("vec_id", "embedding")).select("vec_id", _basics("embedding").alias("f"))
     return e.select("vec_id", *[F.round(F.col(f"f.{n}"), 5).alias(n) for n in _BASICS])
 
 
@@ -121,7 +122,7 @@ def x_pixel_vectors(spark, data):
             out = [pixels.feature_vector(_square(v), [12, 0, 1, 0, *[0.0] * 10], set(), names) for v in b["embedding"]]
             yield pd.DataFrame({"vec_id": b["vec_id"], "features": out})
 
-    return table(spark, data, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, features array<double>")
+    return spread(table(spark, data, "embeddings").select("vec_id", "embedding")).mapInPandas(run, "vec_id bigint, features array<double>")
 
 
 def m28_components(spark, data):
