@@ -194,6 +194,10 @@ def _resolve(frame: pd.DataFrame) -> pd.Series:
     return pd.Series(instants(rows, cols["home"]))
 
 
+# Else a filter on the result would be moved below it, and all texts read twice.
+_resolve = _resolve.asNondeterministic()
+
+
 def utc_us(readings: list[tuple[Column, Column, Column]], home: Column) -> Column:
     """UTC microseconds of the first readable of ``readings`` (text, fraction tag, offset tag), else null."""
     fields = [c.cast("string").alias(f"{n}{j}") for j, r in enumerate(readings) for n, c in zip("tfo", r)]
