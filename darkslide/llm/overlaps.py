@@ -36,6 +36,10 @@ def _name_key(names: pd.Series) -> pd.Series:
     return names.map(name_key, na_action="ignore")
 
 
+# Else a filter on the key would be moved below it, and all names made twice.
+_name_key = _name_key.asNondeterministic()
+
+
 def name_key(name: str | None) -> str | None:
     """The last path part without outer white space, case and composition; None if nothing is left."""
     if name is None:
