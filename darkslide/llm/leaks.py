@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from darkslide.llm.edit_search import EditSearch
 from darkslide.llm.ties import union_all
+from darkslide.operators.shared import spread
 from darkslide.sources.tables import table
 
 #: Characters of passages that one index holds; more passages are searched block by block.
@@ -30,7 +31,7 @@ def leaks(documents: DataFrame, passages: DataFrame, **search) -> DataFrame:
     given = passages.select("eval_id", "passage").dropna()
     size = F.coalesce(F.sum(F.length("passage").cast("bigint")), F.lit(0))
     blocks = max(1, -(-given.agg(size).first()[0] // BLOCK_CHARS))
-    found = []
+    texts, found = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null")), []
     for b in range(blocks):
         block = given.filter(F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == b) if blocks > 1 else given
         rows = [(r.eval_id, r.passage) for r in block.orderBy("eval_id").toLocalIterator()]
@@ -42,7 +43,7 @@ def leaks(documents: DataFrame, passages: DataFrame, **search) -> DataFrame:
                 out = [(d, e) for d, text in zip(batch["doc_id"], batch["text"]) for e in index.find(text)]
                 yield pd.DataFrame(out, columns=["doc_id", "eval_id"], dtype="int64")
 
-        found.append(documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(run, "doc_id bigint, eval_id bigint"))
+        found.append(texts.mapInPandas(run, "doc_id bigint, eval_id bigint"))
     return union_all(found).distinct()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from darkslide.llm.transducer import Transducer, read_ranks
+from darkslide.operators.shared import spread
 from darkslide.sources.tables import table
 
 #: Where the vocabulary lies, on every machine.
@@ -51,12 +52,12 @@ def round_trip(text: Column, path: str = VOCABULARY) -> Column:
 
 def p8_ids(spark: SparkSession, data: str) -> DataFrame:
     """doc_id and ids of each document."""
-    return table(spark, data, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
+    return spread(table(spark, data, "documents").select("doc_id", "text")).select("doc_id", token_ids(F.col("text")).alias("ids"))
 
 
 def p8_round_trip(spark: SparkSession, data: str) -> DataFrame:
     """doc_id, n_ids and restored: all texts come back from their ids."""
-    return table(spark, data, "documents").select("doc_id", round_trip(F.col("text")).alias("r")).select("doc_id", "r.n_ids", "r.restored")
+    return spread(table(spark, data, "documents").select("doc_id", "text")).select("doc_id", round_trip(F.col("text")).alias("r")).select("doc_id", "r.n_ids", "r.restored")
 
 
 QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
