@@ -15,11 +15,11 @@ wins. Replacement characters mark stretches that nothing can restore.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 #: Encodings that UTF-8 bytes are taken for. C1 controls stand for bytes an encoding leaves open.
 CODECS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "iso8859_2")
-ROUNDS = 4
 
 _SEQUENCE = rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 _ONE = re.compile(_SEQUENCE)
@@ -95,9 +95,10 @@ def _telling(source: str, before: str) -> bool:
     return True
 
 
-def _spans(text: str, codec: str) -> list[Span]:
+def _runs(text: str, codec: str) -> list[tuple[list, int]]:
+    """Runs of whole multibyte characters: their likely ones as (start, end, character), and how many of these tell."""
     raw = text.translate(_TABLES[codec]).encode("latin-1")
-    found, runs = [], []
+    runs = []
     for run in _SPAN.finditer(raw):
         parts, telling = [], 0
         for m in _ONE.finditer(raw, run.start(), run.end()):
@@ -105,22 +106,31 @@ def _spans(text: str, codec: str) -> list[Span]:
             source = text[m.start() : m.end()]
             likely = _within(ord(char), _LIKELY)
             if not likely and not _within(ord(char), _IN_RUNS):
-                parts.append(None)
                 continue
             told = _telling(source, text[m.start() - 1] if m.start() else "")
             telling += told and (likely or len(run.group()) > len(source))
             parts.append((m.start(), m.end(), char))
-        runs.append((parts, telling))
-    strong = [p for parts, telling in runs if telling for p in parts if p]
+        if parts:
+            runs.append((parts, telling))
+    return runs
+
+
+def _spans(text: str, codec: str) -> list[Span]:
+    runs, found = _runs(text, codec), []
+    strong = [p for parts, telling in runs if telling for p in parts]
     if not strong:
         return []
     # Beside spans that tell, spans that do not are damage as well: one letter words for example.
-    near = [(p[0], p[1]) for p in strong]
+    starts, ends = [p[0] for p in strong], [p[1] for p in strong]
+
+    def beside(p: tuple) -> bool:
+        i = bisect_left(starts, p[1])
+        return i < len(starts) and starts[i] - p[1] < 40 or i > 0 and p[0] - ends[i - 1] < 40
+
     for parts, telling in runs:
-        kept = [p for p in parts if p]
-        if not telling and not any(abs(p[0] - e) < 40 or abs(s - p[1]) < 40 for p in kept for s, e in near[:200]):
+        if not telling and not any(map(beside, parts)):
             continue
-        for p in kept:
+        for p in parts:
             if found and found[-1].end == p[0]:
                 found[-1] = Span(found[-1].start, p[1], found[-1].text + p[2])
             else:
@@ -215,25 +225,27 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
     """(restored text, damaged stretches found, whether all of them are restored).
 
     A null, empty or sound text comes back as it is with 0 stretches. Replacement
-    characters count as stretches and stay.
+    characters count as stretches and stay. Restored means that a last pass with the
+    encodings undone finds no more characters, not even such as do not tell.
     """
     if not text or text.isascii():
         return text, 0, True
-    total = 0
-    for _ in range(ROUNDS):
+    total, undone = 0, set()
+    while True:  # each round makes the text shorter
         if not any(not _SOUND.fullmatch(m.group()) for m in _SUSPECT.finditer(text)):
             break
         best: list[Span] = []
         for codec in CODECS:
             spans = _spans(text, codec)
             if sum(s.end - s.start for s in spans) > sum(s.end - s.start for s in best):
-                best = spans
+                best, by = spans, codec
         if not best:
             break
         total += len(best)
         text = _apply(text, best)
+        undone.add(by)
     text, spans = _cyrillic(text)
     if not spans:
         text, spans = _polish(text)
     lost = text.count("�")
-    return text, total + len(spans) + lost, not lost
+    return text, total + len(spans) + lost, not lost and not any(_runs(text, c) for c in undone)

@@ -130,3 +130,21 @@ def test_damaged_documents(spark):
     docs = [(1, "plain"), (2, None), (3, ""), (4, "The cafÃ© is shut"), (5, "Été"), (6, "x" * 100_000 + "Ã©t" + "Ã©"), (4, "The cafÃ© is shut")]
     got = sorted((r.doc_id, r.n_stretches) for r in damaged(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
     assert [d for d, _ in got] == [4, 4, 6]
+
+
+def _wrong(text, codec):
+    return "".join(bytes([b]).decode(codec, "ignore") or chr(b) for b in text.encode())
+
+
+def test_long_damage_is_undone_to_its_end():
+    text = "schön und über " * 300
+    fixed, n, whole = repair(_wrong(text, "cp1251"))
+    assert fixed == text and n == 600 and whole
+
+
+def test_restored_only_if_nothing_is_left():
+    assert repair(_wrong("schön" + " plain" * 20 + " über", "cp1251")) == ("schön" + " plain" * 20 + " " + _wrong("ü", "cp1251") + "ber", 1, False)
+    many = "l’été là-bas"
+    for _ in range(6):
+        many = _wrong(many, "cp1252")
+    assert repair(many)[::2] == ("l’été là-bas", True)
