@@ -184,18 +184,34 @@ def m27_elimination(spark, data):
 
 
 def m26_m35_with_and_without(spark, data):
-    """Accuracy with and without the flag of each frequent class, and the differences."""
+    """Per class of the dataset: metrics without and with its flag, and the differences.
+
+    A class of less than one item in a hundred is not fitted: one row, insufficient_data.
+    All classes share the split and the model without.
+    """
     d = dataset(spark, data)
-    seen = items(spark, data).select(F.col("item_id").alias("id"), F.coalesce(F.array_contains("objects", "person"), F.lit(False)).cast("double").alias("person"))
+    seen = items(spark, data).select(F.col("item_id").alias("id"), F.coalesce(F.array_distinct(F.transform(F.filter("objects", lambda c: c.isNotNull()), F.lower)), F.array()).alias("classes"))
     both = Written(L.stratified_split(d.join(seen, "id"), "id", "y", {"train": 0.8, "test": 0.2}), "split").df
-    x = VectorAssembler(inputCols=["features", "person"], outputCol="more").transform(both)
-    out = []
-    for name, column in (("without", "features"), ("with", "more")):
-        rows = x.select("id", "y", "split", F.col(column).alias("f")).withColumnRenamed("f", "features")
+    total = both.agg(F.count("*").alias("total"))
+    counts = both.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
+    counts = Written(counts.select("class", (F.col("n") / F.col("total") < 0.01).alias("rare")), "classes").df
+
+    def fitted(rows: DataFrame) -> list[float]:
         model = L.MODELS["logistic"]().fit(rows.filter("split = 'train'"))
         m = L.measured(Written(L.scores(model, rows.filter("split = 'test'")), "scored").df, threshold=0.5)
-        out.append((name, float(m["accuracy"]), float(m["keep_loss"]), float(m["roc_auc"])))
-    return _table(spark, out, "kind string, accuracy double, keep_loss double, roc_auc double")
+        return [float(m[k]) for k in ("accuracy", "keep_loss", "roc_auc")]
+
+    out, base = [], None
+    for r in counts.filter("not rare").orderBy("class").collect():
+        base = base or fitted(both)
+        flagged = both.withColumn("flag", F.array_contains("classes", r["class"]).cast("double"))
+        x = VectorAssembler(inputCols=["features", "flag"], outputCol="more").transform(flagged)
+        more = fitted(x.select("id", "y", "split", F.col("more").alias("features")))
+        out += [(r["class"], kind, *values) for kind, values in (("without", base), ("with", more), ("difference", [w - v for v, w in zip(base, more)]))]
+    kind = "class string, kind string, accuracy double, keep_loss double, roc_auc double"
+    none = F.lit(None).cast("double")
+    rare = counts.filter("rare").select("class", F.lit("insufficient_data").alias("kind"), none.alias("accuracy"), none.alias("keep_loss"), none.alias("roc_auc"))
+    return _table(spark, out, kind).unionByName(rare)
 
 
 QUERIES = {f.__name__: f for f in (
