@@ -53,6 +53,16 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     return n.select(F.when((F.col("nk") > 0) & (F.col("nt") > 0), F.col("won") / (F.col("nk") * F.col("nt"))).alias("roc_auc"))
 
 
+def roc_auc_by(rows: DataFrame, key: str) -> DataFrame:
+    """(key, roc_auc) of rows (key, y, p) as ``roc_auc`` has it, for all keys in one pass."""
+    good = rows.select(key, F.col("y").cast("int").alias("y"), F.col("p").cast("double").alias("p")).dropna().filter(~F.isnan("p"))
+    at = good.groupBy(key, "p").agg(F.sum("y").alias("k"), F.sum(1 - F.col("y")).alias("t"))
+    s = running_sums(at, [F.asc(key), F.desc("p")], ["k"])
+    earlier = F.min(F.col("run_k") - F.col("k"))  # keepers of the keys before
+    n = s.groupBy(key).agg(F.sum("k").alias("nk"), F.sum("t").alias("nt"), (F.sum(F.col("t") * (F.col("run_k") - F.col("k") / 2)) - earlier * F.sum("t")).alias("won"))
+    return n.select(key, F.when((F.col("nk") > 0) & (F.col("nt") > 0), F.col("won") / (F.col("nk") * F.col("nt"))).alias("roc_auc"))
+
+
 def pr_auc(rows: DataFrame) -> DataFrame:
     """Area under the straight lines between points (recall, precision), beginning at (0, 1)."""
     s = _steps(rows).crossJoin(F.broadcast(scored(rows).agg(F.sum("y").alias("nk"))))

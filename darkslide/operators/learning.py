@@ -255,7 +255,11 @@ def healthy(model: Model) -> bool:
 
 
 def permuted_importance(model: Model, rows: DataFrame, names: list[str]) -> list[tuple[str, float]]:
-    """What the area under the curve loses when a feature's values change places, by the rows' hash order."""
+    """What the area under the curve loses when a feature's values change places, by the rows' hash order.
+
+    ``names`` are those of the features from the first on. The rows with each feature
+    moved in turn are scored in one pass.
+    """
     base = one(ev.roc_auc(scores(model, rows)))["roc_auc"]
     wide = rows.select("id", "y", vector_to_array("features").alias("a"))
     from pyspark.ml.functions import array_to_vector
@@ -263,12 +267,11 @@ def permuted_importance(model: Model, rows: DataFrame, names: list[str]) -> list
     order = dense_index(wide, [F.md5(F.col("id").cast("string")).asc(), F.asc("id")], "at")
     n = order.count()
     order = Written(order, "order").df
-    out = []
-    for i, name in enumerate(names):
-        moved = order.select(F.pmod(F.col("at") + n // 2, F.lit(n)).alias("at"), F.col("a")[i].alias("v"))
-        new = order.join(moved, "at").withColumn("i", F.lit(i)).withColumn("b", F.transform("a", lambda x, k: F.when(k == F.col("i"), F.col("v")).otherwise(x)))
-        p = scores(model, new.select("id", "y", array_to_vector("b").alias("features")))
-        out.append((name, base - one(ev.roc_auc(p))["roc_auc"]))
+    moved = order.select(F.pmod(F.col("at") + n // 2, F.lit(n)).alias("at"), F.col("a").alias("m"))
+    new = order.join(moved, "at").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    new = new.withColumn("b", F.transform("a", lambda x, k: F.when(k == F.col("i"), F.col("m")[k]).otherwise(x)))
+    p = model.transform(new.select("i", "y", array_to_vector("b").alias("features"))).select("i", "y", vector_to_array("probability")[1].alias("p"))
+    out = [(names[r["i"]], base - r["roc_auc"]) for r in ev.roc_auc_by(p, "i").collect()]
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 

@@ -5,6 +5,7 @@ import random
 from conftest import rows
 from pyspark.ml.linalg import Vectors
 
+from darkslide.operators import evaluation as ev
 from darkslide.plans import learning
 
 
@@ -19,3 +20,22 @@ def test_with_and_without_tries_every_frequent_class(spark, monkeypatch):
     assert {x[:2] for x in got} == {(c, k) for c in ("dog", "cat", "kite") for k in ("without", "with", "difference")} | {("rare", "insufficient_data")}
     by = {x[:2]: x[2] for x in got}
     assert all(abs(by[c, "with"] - by[c, "without"] - by[c, "difference"]) < 1e-12 for c in ("dog", "cat", "kite")) and by["rare", "insufficient_data"] is None
+
+
+def test_permuted_importance_of_every_feature(spark, monkeypatch):
+    r = random.Random(6)
+    names = [f"n{i}" for i in range(8)]
+    made = [(i, i % 2, Vectors.dense(*[r.random() for _ in range(7)], i % 2 + r.random())) for i in range(200)]
+    monkeypatch.setattr(learning, "dataset", lambda *_: spark.createDataFrame(made, ["id", "y", "features"]))
+    monkeypatch.setattr(learning, "NAMES", names)
+    got = [tuple(x) for x in learning.m23_permuted_importance(spark, "").collect()]
+    assert sorted(n for n, _ in got) == names and got[0][0] == "n7" and got[0][1] > 0.2
+
+
+def test_areas_by_key_are_those_of_each(spark):
+    r = random.Random(7)
+    made = [(k, int(r.random() < 0.4), r.choice([None, float("nan"), *[i / 9 for i in range(9)]])) for k in range(4) for _ in range(50)] + [(9, 1, 0.5)]
+    df = spark.createDataFrame(made, "g int, y int, p double")
+    got = {x.g: x.roc_auc for x in ev.roc_auc_by(df, "g").collect()}
+    assert got.pop(9) is None and len(got) == 4
+    assert all(abs(v - ev.roc_auc(df.filter(df.g == k)).first()[0]) < 1e-12 for k, v in got.items())
