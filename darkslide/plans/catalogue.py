@@ -139,6 +139,25 @@ def j11_class_flags(spark, data):
     return items(spark, data).select("item_id", *[F.coalesce(F.array_contains("objects", c), F.lit(False)).cast("int").alias(c) for c in classes])
 
 
+# The classes of the reference's detector.
+CLASSES = (
+    "person", "bicycle", "car", "motorcycle", "airplane", "bus", "train", "truck", "boat", "traffic light", "fire hydrant", "stop sign", "parking meter",
+    "bench", "bird", "cat", "dog", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe", "backpack", "umbrella", "handbag", "tie", "suitcase",
+    "frisbee", "skis", "snowboard", "sports ball", "kite", "baseball bat", "baseball glove", "skateboard", "surfboard", "tennis racket", "bottle",
+    "wine glass", "cup", "fork", "knife", "spoon", "bowl", "banana", "apple", "sandwich", "orange", "broccoli", "carrot", "hot dog", "pizza", "donut",
+    "cake", "chair", "couch", "potted plant", "bed", "dining table", "toilet", "tv", "laptop", "mouse", "remote", "keyboard", "cell phone", "microwave",
+    "oven", "toaster", "sink", "refrigerator", "book", "clock", "vase", "scissors", "teddy bear", "hair drier", "toothbrush",
+)
+
+
+def j11_all_class_flags(spark, data):
+    """Flags of all classes of the detector, in lower case and _ for a space; others: classes that it doesn't know."""
+    low = F.transform("objects", F.lower)
+    others = F.array_sort(F.array_distinct(F.filter(low, lambda c: c.isNotNull() & ~c.isin(*CLASSES))))
+    flags = [F.coalesce(F.array_contains("low", c), F.lit(False)).cast("int").alias(c.replace(" ", "_")) for c in CLASSES]
+    return items(spark, data).select("item_id", low.alias("low"), F.coalesce(others, F.array().cast("array<string>")).alias("others")).select("item_id", *flags, "others")
+
+
 def a4_status(spark, data):
     labelled = F.trim(p.text("label")) != ""
     auto = F.col("label_source") == "auto"
@@ -176,7 +195,7 @@ def x25_class_names(spark, data):
 QUERIES = {f.__name__: f for f in (
     f1_rating, f2_tag, f3_date, f4_hide_manual, f5_all_criteria, f7_filename, f8_exif_field, f9_unlabelled, f10_manual, f11_training_rows, f14_scored,
     f15_feature_subset, f16_class_presence, f17_exif_dates, f18_problems, s5_capture_time, s7_valid_cache, s8_cache_split, s10_cache_key, s12_group_cache,
-    s21_aligned_vectors, j1_photo_rows, j3_probabilities, j11_class_flags, a4_status, x1_camera, x2_exif_numbers, x5_time_parts, x8_light, x25_class_names,
+    s21_aligned_vectors, j1_photo_rows, j3_probabilities, j11_class_flags, j11_all_class_flags, a4_status, x1_camera, x2_exif_numbers, x5_time_parts, x8_light, x25_class_names,
 )}
 
 I = "with i as (select distinct on (item_id) * from image_items), v as (select distinct on (item_id) * from preprocess_results)"  # noqa: E741
@@ -222,6 +241,8 @@ from (select item_id, unnest(list_distinct(objects)) as c from i) group by c""",
 from i left join (select * from v where len(hist_feat) = 48) v using (item_id)""",
     "j3_probabilities": I + " select item_id, coalesce(case when isnan(pick_score) then null else pick_score end, 0.5) as p from i",
     "j11_class_flags": I + " select item_id, " + ", ".join(f"coalesce(list_contains(objects, '{c}'), false)::int as {c}" for c in ("person", "car", "bird", "bench", "dog", "cat", "bicycle", "boat")) + " from i",
+    "j11_all_class_flags": I + " select item_id, " + ", ".join(f"coalesce(list_contains(list_transform(objects, lambda c: lower(c)), '{c}'), false)::int as \"{c.replace(' ', '_')}\"" for c in CLASSES)
+    + f", coalesce(list_sort(list_distinct(list_filter(list_transform(objects, lambda c: lower(c)), lambda c: c is not null and c not in {CLASSES}))), []) as others from i",
     "a4_status": I + """ select count(*) as total, count_if(trim(coalesce(label, '')) <> '')::bigint as labelled, count_if(trim(coalesce(label, '')) = '')::bigint as unlabelled,
  count_if(trim(coalesce(label, '')) <> '' and label_source is distinct from 'auto')::bigint as manual, count_if(trim(coalesce(label, '')) <> '' and label_source = 'auto')::bigint as auto from i""",
     "x1_camera": I + """ select item_id, case when nullif(trim(exif['Make']), '') is not null and nullif(trim(exif['Model']), '') is not null

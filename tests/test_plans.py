@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.ml.linalg import Vectors
 
 from darkslide.operators import evaluation as ev
-from darkslide.plans import learning
+from darkslide.plans import catalogue, learning
 
 
 def test_with_and_without_tries_every_frequent_class(spark, monkeypatch):
@@ -39,3 +39,13 @@ def test_areas_by_key_are_those_of_each(spark):
     got = {x.g: x.roc_auc for x in ev.roc_auc_by(df, "g").collect()}
     assert got.pop(9) is None and len(got) == 4
     assert all(abs(v - ev.roc_auc(df.filter(df.g == k)).first()[0]) < 1e-12 for k, v in got.items())
+
+
+def test_flags_of_all_classes(spark, monkeypatch):
+    made = [(1, ["cup", "Kite", "dog"]), (2, ["traffic light", None, "sled", "Sled"]), (3, []), (4, None)]
+    monkeypatch.setattr(catalogue, "items", lambda *_: spark.createDataFrame(made, "item_id bigint, objects array<string>"))
+    got = {r.item_id: r.asDict() for r in catalogue.j11_all_class_flags(spark, "").collect()}
+    assert all(len(r) == 82 for r in got.values())
+    on = {i: sorted(c for c, v in r.items() if v == 1 and c != "item_id") for i, r in got.items()}
+    assert on == {1: ["cup", "dog", "kite"], 2: ["traffic_light"], 3: [], 4: []}
+    assert {i: r["others"] for i, r in got.items()} == {1: [], 2: ["sled"], 3: [], 4: []}
