@@ -277,7 +277,7 @@ def permuted_importance(model: Model, rows: DataFrame, names: list[str]) -> list
 
 def eliminated(rows: DataFrame, names: list[str], floor: int = 5, share: float = 0.05, tolerate: float = 0.01, kind: str = "forest", rounds: int = 50) -> list[tuple[int, int, float]]:
     """Backward elimination: (round, features left, accuracy), dropping the least important while accuracy falls by no more than ``tolerate``."""
-    parts = stratified_split(rows, "id", "y", {"train": 0.8, "test": 0.2})
+    parts = Written(stratified_split(rows, "id", "y", {"train": 0.8, "test": 0.2}), "split").df
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     left, out, best = list(range(len(names))), [], None
     for r in range(rounds):

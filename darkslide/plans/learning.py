@@ -180,7 +180,7 @@ def m25_ablation(spark, data):
 
 
 def m27_elimination(spark, data):
-    found = L.eliminated(dataset(spark, data), NAMES, floor=20, share=0.4, tolerate=0.05, rounds=3)
+    found = L.eliminated(dataset(spark, data), NAMES)
     return _table(spark, found, "round int, features int, accuracy double")
 
 

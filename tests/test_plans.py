@@ -49,3 +49,11 @@ def test_flags_of_all_classes(spark, monkeypatch):
     on = {i: sorted(c for c, v in r.items() if v == 1 and c != "item_id") for i, r in got.items()}
     assert on == {1: ["cup", "dog", "kite"], 2: ["traffic_light"], 3: [], 4: []}
     assert {i: r["others"] for i, r in got.items()} == {1: [], 2: ["sled"], 3: [], 4: []}
+
+
+def test_elimination_goes_down_to_five(spark, monkeypatch):
+    r = random.Random(8)
+    made = [(i, i % 2, Vectors.dense(*[r.random() for _ in range(7)], i % 2)) for i in range(100)]
+    monkeypatch.setattr(learning, "dataset", lambda *_: spark.createDataFrame(made, ["id", "y", "features"]))
+    monkeypatch.setattr(learning, "NAMES", [f"n{i}" for i in range(8)])
+    assert [x.features for x in learning.m27_elimination(spark, "").collect()] == [8, 7, 6, 5]
