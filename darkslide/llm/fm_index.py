@@ -67,11 +67,11 @@ class FMIndex:
         return int(sp[0]), int(ep[0])
 
     def maximal_matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, record, symbols in common) of every pair with a maximal match.
+        """(query, record, symbols in common) of every pair with a symbol in common.
 
         Column by column from the last to the first, the suffixes that begin with
-        the query's symbol are located; those of one record in neighbouring
-        columns are one match, and the merged spans are counted per pair.
+        the query's symbol are located, each by one step from the whole range.
+        Ranges are not extended: a longer match is of a pair found by its symbols.
         """
         n, c = codes.shape
         pairs = []
