@@ -1,34 +1,45 @@
-"""Same or near-same records across splits: an index of the evaluation records, searched by all training records (p3).
-
-A record becomes a short text of symbols: the item, its group, and the 64 bits of
-its perceptual hash in nine pieces. Two hashes that differ in at most eight bits
-have at least one piece in common, so every pair that counts has a match in the
-index; an exact comparison of the pairs found follows.
-
-Runs are cut into shards of evaluation records and blocks of training records;
-each block is searched in each shard of its run, so a run may hold any share of
-the rows.
+"""Same or near-same records across splits: an index of the evaluation records, through which all training records stream (p3).
+
+The 64 bits of a perceptual hash are cut into ten pieces, of which two hashes within
+eight bits share at least two. A record becomes five short texts, the pieces in five
+orders such that any two pieces stand side by side in exactly one; so every pair
+within eight bits has a maximal match of two or more symbols, which single symbols,
+shared by chance by one record in a hundred, do not decide. The spans of a pair's
+matches are merged to the pieces that it shares, and their count tells how much is
+left to compare: nothing if all ten are shared. Item and group are texts of one
+symbol. Symbols of different runs are different symbols.
+
+Evaluation records lie in shards: small runs together, a large run in several. The
+index of a shard is built once. A training record goes to the shards of its run, for
+all but huge runs one; shards that many training records meet are copied to as many
+blocks as these fill, in their compressed form.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from darkslide.llm.fm_index import FMIndex
+from darkslide.llm.fm_index import FMIndex, merged, paths
 from darkslide.llm.ties import assigned, union_all
+from darkslide.operators.hamming import hash_bits
 from darkslide.operators.skew import skew_safe_lookup
 from darkslide.sources.tables import table
 
 MAX_BITS = 8
-SHARD, BLOCK = 20_000, 20_000
-#: Nine pieces of 64 bits: first bit and width.
-PIECES = [(7 * i, 7) for i in range(8)] + [(56, 8)]
+#: Evaluation records of an index, and training records that stream through it in one task.
+SHARD, BLOCK = 16_384, 65_536
+#: Ten pieces of 64 bits: first bit and width; hashes within MAX_BITS share LEAST of them or more.
+PIECES = [(64 * i // 10, 64 * (i + 1) // 10 - 64 * i // 10) for i in range(10)]
+LEAST = len(PIECES) - MAX_BITS
+ORDERS = paths(len(PIECES))
+_ITEM, _GROUP = 1 << len(PIECES), 2 << len(PIECES)
 
 
 @F.pandas_udf(StringType())
@@ -48,54 +59,117 @@ def name_key(name: str | None) -> str | None:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", last).lower()) or None
 
 
-def _symbols(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    group, phash = f["group_id"], f["phash"]
-    bits = np.array([int(h, 16) if isinstance(h, str) else 0 for h in phash], dtype=np.uint64)
-    columns = [f["item_id"].to_numpy(np.int64), group.fillna(-1).to_numpy(np.int64)]
-    columns += [((bits >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64) for at, w in PIECES]
-    no_hash = phash.isna().to_numpy()
-    missing = np.stack([np.zeros(len(f), bool), group.isna().to_numpy(), *[no_hash] * len(PIECES)], axis=1)
-    return np.stack(columns, axis=1), missing
-
-
-def _search(evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
-    if not len(evaluation) or not len(training):
+def name_keys(name: str) -> Column:
+    """``name_key`` of a column; only names that are not plain ASCII go through Python."""
+    c, plain = F.col(name), F.col(name).rlike(r"^[\x00-\x7F]*$")
+    last = F.regexp_extract(c, r"(?:^|[/\\])[\s\x1c-\x1f]*([^/\\]*?)[\s\x1c-\x1f]*$", 1)
+    return F.coalesce(F.nullif(F.when(plain, F.lower(last)), F.lit("")), _name_key(F.when(~plain, c)))
+
+
+class Shard:
+    """The index of evaluation records (run_id, split_name, item_id, group_id, grouped, bits, hashed); the flags tell whether there are a group and a hash."""
+
+    def __init__(self, f: pd.DataFrame):
+        self.runs, run = np.unique(f["run_id"].to_numpy(np.int64), return_inverse=True)
+        self.run, self.split, self.item = run, f["split_name"].to_numpy(), f["item_id"].to_numpy(np.int64)
+        rows = np.arange(len(f))
+        hashed, grouped = rows[f["hashed"].to_numpy()], rows[f["grouped"].to_numpy()]
+        self.bits = f["bits"].to_numpy(np.int64).view(np.uint64)
+        self.values = [np.unique(run[hashed] * 128 + v) for v in _pieces(self.bits[hashed])]
+        codes = np.stack([np.searchsorted(v, run[hashed] * 128 + x) for v, x in zip(self.values, _pieces(self.bits[hashed]))], axis=1)
+        self.hashes = [FMIndex(codes[:, o], [len(self.values[p]) for p in o], hashed) for o in ORDERS]
+        self.items, self.item_index = self._single(self.item, rows)
+        self.groups, self.group_index = self._single(f["group_id"].to_numpy(np.int64)[grouped], grouped)
+
+    def _single(self, value: np.ndarray, rows: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], FMIndex]:
+        """Texts of one symbol, a pair of run and value."""
+        values, code = np.unique(value, return_inverse=True)
+        both, code = np.unique(self.run[rows] * max(1, len(values)) + code, return_inverse=True)
+        return (values, both), FMIndex(code[:, None], [len(both)], rows)
+
+    def overlaps(self, f: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of the training records ``f`` with the index's that are the same or near-same."""
+        run, item = _code(self.runs, f["run_id"].to_numpy(np.int64)), f["item_id"].to_numpy(np.int64)
+        hashed, grouped = np.flatnonzero((run >= 0) & f["hashed"].to_numpy()), np.flatnonzero((run >= 0) & f["grouped"].to_numpy())
+        bits, found = f["bits"].to_numpy(np.int64).view(np.uint64), []
+        codes = np.stack([_code(v, run[hashed] * 128 + x) for v, x in zip(self.values, _pieces(bits[hashed]))], axis=1)
+        for order, index in zip(ORDERS, self.hashes):
+            q, r, a, b = index.maximal_matches(codes[:, order], LEAST)
+            found.append((hashed[q], r, _SPANS[ORDERS.index(order)][a, b]))
+        for (values, both), index, rows, value, bit in (
+            (self.items, self.item_index, np.flatnonzero(run >= 0), item, _ITEM),
+            (self.groups, self.group_index, grouped, f["group_id"].to_numpy(np.int64), _GROUP),
+        ):
+            code = _code(values, value[rows])
+            code = np.where(code >= 0, _code(both, run[rows] * max(1, len(values)) + code), -1)
+            q, r, _, _ = index.maximal_matches(code[:, None], 1)
+            found.append((rows[q], r, np.full(len(q), bit)))
+        q, r, mask = merged(*(np.concatenate(x) for x in zip(*found)), max(1, len(self.item)))
+        shared = np.bitwise_count(mask & (_ITEM - 1))
+        hit = (mask >= _ITEM) | (shared == len(PIECES))
+        open_ = np.flatnonzero(~hit)
+        hit[open_] = np.bitwise_count(bits[q[open_]] ^ self.bits[r[open_]]) <= MAX_BITS
+        q, r = q[hit], r[hit]
+        a, b = item[q], self.item[r]
+        return pd.DataFrame({"run_id": self.runs[self.run[r]], "split_name": self.split[r], "item_lo": np.minimum(a, b), "item_hi": np.maximum(a, b)})
+
+
+def _pieces(bits: np.ndarray) -> list[np.ndarray]:
+    return [((bits >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64) for at, w in PIECES]
+
+
+#: Of each order: the pieces, as bits, of the span from one column to another.
+_SPANS = [np.array([[sum(1 << p for p in o[a : b + 1]) for b in range(len(o))] for a in range(len(o))], dtype=np.int64) for o in ORDERS]
+
+
+def _code(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in sorted ``values``, -1 where it is not there."""
+    if not len(values):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return np.where(values[at] == wanted, at, -1)
+
+
+def _build(f: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({**{c: f[c].iloc[:1] for c in ("pack", "sub", "blocks")}, "index": [pickle.dumps(Shard(f), protocol=5)]})
+
+
+def _search(shard: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
+    if not len(shard) or not len(training):
         return pd.DataFrame({"run_id": [], "split_name": [], "item_lo": [], "item_hi": []}).astype({"run_id": "int64", "item_lo": "int64", "item_hi": "int64"})
-    (e, e_missing), (t, t_missing) = _symbols(evaluation), _symbols(training)
-    index = FMIndex(e, e_missing)
-    codes = index.encode(t, t_missing)
-    out = []
-    for at in range(0, len(codes), 4000):
-        q, r, _ = index.maximal_matches(codes[at : at + 4000])
-        out.append(np.stack([q + at, r]))
-    q, r = np.concatenate(out, axis=1)
-    as_bits = lambda f: np.array([int(h, 16) if isinstance(h, str) else 0 for h in f["phash"]], dtype=np.uint64)
-    near = np.bitwise_count(as_bits(training)[q] ^ as_bits(evaluation)[r]) <= MAX_BITS
-    near &= ~(t_missing[q, 2] | e_missing[r, 2])
-    same = (t[q, 0] == e[r, 0]) | ((t[q, 1] == e[r, 1]) & ~t_missing[q, 1] & ~e_missing[r, 1])
-    q, r = q[near | same], r[near | same]
-    a, b = t[q, 0], e[r, 0]
-    return pd.DataFrame({"run_id": evaluation["run_id"].to_numpy()[r], "split_name": evaluation["split_name"].to_numpy()[r], "item_lo": np.minimum(a, b), "item_hi": np.maximum(a, b)})
+    return pickle.loads(shard["index"].iloc[0]).overlaps(training)
 
 
 def cross_split_overlaps(members: DataFrame) -> DataFrame:
     """Distinct (run_id, split_name, item_lo, item_hi) of ``members`` (run_id, split_name, item_id, group_id, phash).
 
     split_name is train or an evaluation split. group_id and phash may be null and
-    then match nothing; phash is 16 hex digits.
+    then match nothing; phash is 16 hex digits. Repeated members count once, runs
+    without a training or an evaluation record give nothing.
     """
     train = F.col("split_name") == "train"
     sizes = members.groupBy("run_id").agg(F.count("*").alias("n"), F.sum(train.cast("bigint")).alias("trained"))
-    sizes = sizes.select("run_id", "n", F.ceil((F.col("n") - F.col("trained")) / SHARD).alias("shards"), F.ceil(F.col("trained") / BLOCK).alias("blocks"))
-    m = skew_safe_lookup(members, "run_id", sizes.filter("shards > 0 and blocks > 0"), ["shards", "blocks"], "n").filter("shards is not null")
+    sizes = sizes.withColumn("subs", F.ceil((F.col("n") - F.col("trained")) / SHARD)).filter("subs > 0 and trained > 0")
+    packs = sizes.filter("subs = 1").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") - F.col("trained")) / SHARD)).alias("packs"))
+    # A pack is named by a hash of its number, a run of several shards by its own id.
+    pack = F.when(F.col("subs") == 1, F.struct(F.lit(0).alias("kind"), F.pmod(F.xxhash64("run_id"), F.coalesce("packs", F.lit(1))).alias("id")))
+    pack = pack.otherwise(F.struct(F.lit(1).alias("kind"), F.col("run_id").alias("id")))
+    sizes = sizes.crossJoin(F.broadcast(packs)).select("run_id", "n", "trained", "subs", F.xxhash64(pack).alias("pack"))
+    blocks = sizes.groupBy("pack").agg(F.ceil(F.sum("trained") / BLOCK).alias("blocks"))
+    sizes = sizes.join(blocks, "pack").select("run_id", "n", "subs", "pack", "blocks")
+    bits, group = hash_bits("phash"), F.col("group_id")
+    m = members.select("run_id", "split_name", "item_id", F.coalesce(group, F.lit(-1)).alias("group_id"), group.isNotNull().alias("grouped"), F.coalesce(bits, F.lit(0)).alias("bits"), bits.isNotNull().alias("hashed"))
+    m = skew_safe_lookup(m, "run_id", sizes, ["pack", "subs", "blocks"], "n").filter("pack is not null")
+    columns = ["run_id", "split_name", "item_id", "group_id", "grouped", "bits", "hashed"]
     part = lambda n: F.pmod(F.xxhash64("item_id", "split_name"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    columns = ["run_id", "split_name", "item_id", "group_id", "phash"]
-    evaluation = m.filter(~train).select(*columns, part("shards").alias("shard"), every("blocks").alias("block"))
-    training = m.filter(train).select(*columns, part("blocks").alias("block"), every("shards").alias("shard"))
+    evaluation = m.filter(~train).select("pack", part("subs").alias("sub"), "blocks", *columns)
+    shards = evaluation.groupBy("pack", "sub").applyInPandas(_build, "pack bigint, sub bigint, blocks bigint, index binary")
+    shards = shards.select("pack", "sub", every("blocks").alias("block"), "index")
+    training = m.filter(train).select("pack", part("blocks").alias("block"), every("subs").alias("sub"), "run_id", "item_id", "group_id", "grouped", "bits", "hashed")
     training = training.select(*[F.col(c).alias(c) for c in training.columns])  # columns of their own, apart from evaluation's
-    keys = ["run_id", "shard", "block"]
-    found = evaluation.groupBy(*keys).cogroup(training.groupBy(*keys)).applyInPandas(_search, "run_id bigint, split_name string, item_lo bigint, item_hi bigint")
+    keys = ["pack", "sub", "block"]
+    found = shards.groupBy(*keys).cogroup(training.groupBy(*keys)).applyInPandas(_search, "run_id bigint, split_name string, item_lo bigint, item_hi bigint")
     return found.distinct()
 
 
@@ -104,10 +178,10 @@ def _members(spark: SparkSession, data: str) -> DataFrame:
     # A union of three explodes: rows of one explode over a list of lists would each carry a whole list.
     lists = [runs.select("run_id", F.lit(s).alias("split_name"), F.explode(f"{s}_filenames").alias("name")) for s in ("train", "test", "val")]
     entries = union_all(lists).filter("name is not null")
-    entries = entries.select("run_id", "split_name", _name_key("name").alias("key")).filter("key is not null").distinct()
+    entries = entries.select("run_id", "split_name", name_keys("name").alias("key")).filter("key is not null").distinct()
     phash = F.when(F.col("phash").rlike("^[0-9A-Fa-f]{16}$"), F.col("phash"))
     items = table(spark, data, "image_items").filter("item_id is not null and filename is not null")
-    items = items.select(_name_key("filename").alias("key"), "item_id", assigned("group_id").alias("group_id"), phash.alias("phash")).distinct()
+    items = items.select(name_keys("filename").alias("key"), "item_id", assigned("group_id").alias("group_id"), phash.alias("phash")).distinct()
     return entries.join(items, "key").select("run_id", "split_name", "item_id", "group_id", "phash").distinct()
 
 

@@ -1,27 +1,57 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from darkslide.llm.fm_index import FMIndex
+from darkslide.llm.fm_index import FMIndex, paths
 from darkslide.llm.neighbours import nearest
-from darkslide.llm.overlaps import cross_split_overlaps, name_key
+from darkslide.llm.overlaps import PIECES, Shard, cross_split_overlaps, name_key, name_keys
 from darkslide.llm.vp_tree import Router, VPTree, unit
 
 
-def test_index_counts_and_finds():
-    r = np.random.default_rng(1)
-    rows, missing = r.integers(0, 4, (40, 5)), r.random((40, 5)) < 0.1
-    index = FMIndex(rows, missing)
-    queries, absent = r.integers(0, 5, (30, 5)), r.random((30, 5)) < 0.1
-    codes = index.encode(queries, absent)
-    same = (queries[:, None, :] == rows[None]) & ~absent[:, None, :] & ~missing[None]
-    want = {(q, e): int(n) for (q, e), n in np.ndenumerate(same.sum(axis=2)) if n}
-    q, e, n = index.maximal_matches(codes)
-    assert dict(zip(zip(q.tolist(), e.tolist()), n.tolist())) == want
-    for k in range(30):
-        lo, hi = index.search(codes[k, 1:4])
-        assert hi - lo == int((same[k][:, 1:4].all(axis=1)).sum())
+def brute_matches(queries, rows, least):
+    out = set()
+    for q, a in enumerate(queries):
+        for r, b in enumerate(rows):
+            at = 0
+            while at < len(a):
+                end = at
+                while end < len(a) and a[end] == b[end]:
+                    end += 1
+                if end - at >= least:
+                    out.add((q, r, at, end - 1))
+                at = end + 1
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_maximal_matches_are_those_of_comparing(least):
+    r = np.random.default_rng(least)
+    for n in (1, 40):
+        rows, queries = r.integers(0, 3, (n, 10)), r.integers(-1, 4, (30, 10))
+        queries[queries == 3] = -1
+        found = FMIndex(rows, [3] * 10, np.arange(n)).maximal_matches(queries, least)
+        got = list(zip(*(x.tolist() for x in found)))
+        assert len(got) == len(set(got)) and set(got) == brute_matches(queries.tolist(), rows.tolist(), least)
+
+
+def test_any_two_pieces_stand_together_once():
+    sides = [frozenset(p) for o in paths(10) for p in zip(o, o[1:])]
+    assert len(sides) == len(set(sides)) == 45 and all(sorted(o) == list(range(10)) for o in paths(10))
+
+
+def test_single_symbols_do_not_decide():
+    """Hashes with one piece in common are no pair, however many records share it; two pieces and eight bits are one."""
+    base = 0
+    one = sum(1 << at for at, _ in PIECES[1:])  # differs in nine pieces by a bit each
+    two = sum(1 << at for at, _ in PIECES[2:])
+    make = lambda ids, bits: pd.DataFrame({"run_id": 1, "split_name": "test", "item_id": ids, "group_id": -1, "grouped": False, "bits": np.array(bits, dtype=np.uint64).view(np.int64), "hashed": True})
+    shard = Shard(make([10, 11, 12], [one, two, base]))
+    got = shard.overlaps(make([1], [base]))
+    assert sorted(got["item_hi"]) == [11, 12]
+    found = [index.maximal_matches(np.zeros((0, 10), dtype=np.int64), 2)[0] for index in shard.hashes]
+    assert not any(len(x) for x in found)
 
 
 def brute_overlaps(rows):
@@ -49,9 +79,10 @@ def test_overlaps_like_brute_force(spark, monkeypatch):
     assert cross_split_overlaps(df.filter("run_id > 9")).count() == 0
 
 
-@pytest.mark.parametrize("a, b", [(" D:\\x\\ É.JPG ", "é.jpg"), ("/lib/e\u0301.jpg", "é.jpg"), ("", None), ("a/", None), (None, None), ("  ", None)])
-def test_name_keys(a, b):
+@pytest.mark.parametrize("a, b", [(" D:\\x\\ É.JPG ", "é.jpg"), (" D:\\x\\ B c.JPG\t", "b c.jpg"), ("A.b", "a.b"), ("x/ y /Z z ", "z z"), ("/lib/e\u0301.jpg", "é.jpg"), ("", None), ("a/", None), (None, None), ("  ", None)])
+def test_name_keys(spark, a, b):
     assert name_key(a) == b
+    assert spark.createDataFrame([(a,)], "n string").select(name_keys("n").alias("k")).first().k == b
 
 
 def test_tree_and_router_are_exact_at_factor_one():
