@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -87,20 +88,38 @@ def test_name_keys(spark, a, b):
 
 def test_tree_and_router_are_exact_at_factor_one():
     r = np.random.default_rng(2)
-    x = unit(r.random((3000, 12)))
-    tree = VPTree(x, leaf=50)
+    raw = r.random((3000, 12)).astype(np.float32)
+    x = unit(raw)
+    tree = pickle.loads(pickle.dumps(VPTree(raw, np.arange(len(raw)), leaf=50)))
     s = x @ x.T
     np.fill_diagonal(s, -2)
     want = np.sort(-s, axis=1)[:, :5] * -1
     _, got = tree.search(x, 5, 1.0, own=np.arange(len(x)))
-    assert np.allclose(got[:, :5], want)
+    assert np.allclose(got, want)
     router = Router(x[:800], 16)
-    home, reach = router.home(x), np.sqrt(2 - 2 * want[:, 4])
+    router.refine({3: Router(x[:300], 4)})
+    router.cut(3000, 100)
+    key = np.arange(len(x))
+    home, reach = router.home(x, key), np.sqrt(2 - 2 * want[:, 4])
     row, shard = router.visits(x, reach, 1.0)
     seen = set(zip(row.tolist(), shard.tolist()))
+    assert len(set(home)) > 19 and len(seen) == len(row)
     assert all((i, home[j]) in seen for i in range(0, 3000, 50) for j in np.argsort(-s[i])[:5])
 
 
+def test_near_copies_are_ranked_in_double_precision():
+    r = np.random.default_rng(3)
+    base = r.random(16)
+    raw = np.concatenate([base * r.uniform(0.5, 2, (60, 1)), base + 1e-5 * r.standard_normal((60, 16)), r.random((200, 16))]).astype(np.float32)
+    rank = r.permutation(len(raw))
+    x = unit(raw)
+    s = np.einsum("ij,kj->ik", x, x)
+    places, sims = VPTree(raw, rank, leaf=20).search(x, 5, 1.0, own=np.arange(len(x)))
+    np.fill_diagonal(s, -2)
+    assert np.allclose(sims, -np.sort(-s, axis=1)[:, :5], atol=1e-14, rtol=0)
+    assert all(len(set(p)) == 5 and i not in p for i, p in enumerate(places.tolist()))
+
+
 def brute_nearest(rows, k):
     out = {}
     for i, v in rows.items():
@@ -119,8 +138,9 @@ def test_nearest_with_equal_and_unusable_vectors(spark):
     rows |= {i: rows[3] for i in range(200, 230)} | {i: [float(np.float32(x)) for x in r.random(4)] for i in range(300, 303)} | {400: [1.0]}
     bad = [(500, None), (501, [0.0] * 6), (502, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (503, [float("nan")] * 6), (504, [float("inf")] * 6), (None, [1.0] * 6), (3, rows[3])]
     df = spark.createDataFrame([*rows.items(), *bad], "item_id bigint, hist_feat array<float>")
-    got = {x.item_id: list(x.neighbours) for x in nearest(df, 5, factor=1.0, shard=16).collect()}
-    assert got == brute_nearest(rows, 5)
+    for sample in (20_000, 100):  # the second splits the leaves of the first router
+        got = {x.item_id: list(x.neighbours) for x in nearest(df, 5, factor=1.0, shard=4 if sample == 100 else 16, sample=sample).collect()}
+        assert got == brute_nearest(rows, 5)
     assert nearest(df.filter("item_id > 999"), 5).count() == 0
 
 
