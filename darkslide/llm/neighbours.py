@@ -33,7 +33,7 @@ SHARD, QUERIES_AT_ONCE = 16_384, 65_536
 SAMPLE = 20_000
 #: Relaxation of the triangle inequality; 1 is exact. At 2.5 about 99 % of the true neighbours are found (README).
 FACTOR = 2.5
-LEAF = 512
+LEAF = 1024
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

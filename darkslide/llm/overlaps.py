@@ -29,6 +29,7 @@ from pyspark.sql.types import StringType
 from darkslide.llm.fm_index import FMIndex, merged, paths
 from darkslide.llm.ties import assigned, union_all
 from darkslide.operators.hamming import hash_bits
+from darkslide.operators.shared import Written
 from darkslide.operators.skew import skew_safe_lookup
 from darkslide.sources.tables import table
 
@@ -61,11 +62,16 @@ def name_key(name: str | None) -> str | None:
 
 def name_keys(name: str) -> Column:
     """``name_key`` of a column; only names that are not plain ASCII go through Python."""
-    c, plain = F.col(name), F.col(name).rlike(r"^[\x00-\x7F]*$")
-    last = F.regexp_extract(c, r"(?:^|[/\\])[\s\x1c-\x1f]*([^/\\]*?)[\s\x1c-\x1f]*$", 1)
+    c = F.col(name)
+    plain, blank = F.octet_length(c) == F.length(c), F.lit(_ASCII_BLANK)
+    last = F.btrim(F.substring_index(F.translate(F.btrim(c, blank), "\\", "/"), "/", -1), blank)
     return F.coalesce(F.nullif(F.when(plain, F.lower(last)), F.lit("")), _name_key(F.when(~plain, c)))
 
 
+#: What strip() takes from ASCII text.
+_ASCII_BLANK = "".join(c for c in map(chr, range(128)) if c.isspace())
+
+
 class Shard:
     """The index of evaluation records (run_id, split_name, item_id, group_id, grouped, bits, hashed); the flags tell whether there are a group and a hash."""
 
@@ -148,8 +154,11 @@ def cross_split_overlaps(members: DataFrame) -> DataFrame:
     without a training or an evaluation record give nothing.
     """
     train = F.col("split_name") == "train"
-    sizes = members.groupBy("run_id").agg(F.count("*").alias("n"), F.sum(train.cast("bigint")).alias("trained"))
-    sizes = sizes.withColumn("subs", F.ceil((F.col("n") - F.col("trained")) / SHARD)).filter("subs > 0 and trained > 0")
+    bits, group = hash_bits("phash"), F.col("group_id")
+    m = members.select("run_id", "split_name", "item_id", F.coalesce(group, F.lit(-1)).alias("group_id"), group.isNotNull().alias("grouped"), F.coalesce(bits, F.lit(0)).alias("bits"), bits.isNotNull().alias("hashed"))
+    m = Written(m, "members").df
+    sizes = m.groupBy("run_id").agg(F.count("*").alias("n"), F.sum(train.cast("bigint")).alias("trained"))
+    sizes = Written(sizes.withColumn("subs", F.ceil((F.col("n") - F.col("trained")) / SHARD)).filter("subs > 0 and trained > 0"), "runs").df
     packs = sizes.filter("subs = 1").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") - F.col("trained")) / SHARD)).alias("packs"))
     # A pack is named by a hash of its number, a run of several shards by its own id.
     pack = F.when(F.col("subs") == 1, F.struct(F.lit(0).alias("kind"), F.pmod(F.xxhash64("run_id"), F.coalesce("packs", F.lit(1))).alias("id")))
@@ -157,8 +166,6 @@ def cross_split_overlaps(members: DataFrame) -> DataFrame:
     sizes = sizes.crossJoin(F.broadcast(packs)).select("run_id", "n", "trained", "subs", F.xxhash64(pack).alias("pack"))
     blocks = sizes.groupBy("pack").agg(F.ceil(F.sum("trained") / BLOCK).alias("blocks"))
     sizes = sizes.join(blocks, "pack").select("run_id", "n", "subs", "pack", "blocks")
-    bits, group = hash_bits("phash"), F.col("group_id")
-    m = members.select("run_id", "split_name", "item_id", F.coalesce(group, F.lit(-1)).alias("group_id"), group.isNotNull().alias("grouped"), F.coalesce(bits, F.lit(0)).alias("bits"), bits.isNotNull().alias("hashed"))
     m = skew_safe_lookup(m, "run_id", sizes, ["pack", "subs", "blocks"], "n").filter("pack is not null")
     columns = ["run_id", "split_name", "item_id", "group_id", "grouped", "bits", "hashed"]
     part = lambda n: F.pmod(F.xxhash64("item_id", "split_name"), F.col(n))
@@ -178,7 +185,7 @@ def _members(spark: SparkSession, data: str) -> DataFrame:
     # A union of three explodes: rows of one explode over a list of lists would each carry a whole list.
     lists = [runs.select("run_id", F.lit(s).alias("split_name"), F.explode(f"{s}_filenames").alias("name")) for s in ("train", "test", "val")]
     entries = union_all(lists).filter("name is not null")
-    entries = entries.select("run_id", "split_name", name_keys("name").alias("key")).filter("key is not null").distinct()
+    entries = entries.select("run_id", "split_name", name_keys("name").alias("key")).filter("key is not null")
     phash = F.when(F.col("phash").rlike("^[0-9A-Fa-f]{16}$"), F.col("phash"))
     items = table(spark, data, "image_items").filter("item_id is not null and filename is not null")
     items = items.select(name_keys("filename").alias("key"), "item_id", assigned("group_id").alias("group_id"), phash.alias("phash")).distinct()
