@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import sys
 import unicodedata
 
-_FORMAT = dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
-_WORD = re.compile(r"[^\W_]+").findall
+
+class _Letters(dict):
+    """Letters and digits to themselves, format characters to nothing, all else to blanks; filled as characters come up."""
+
+    def __missing__(self, c: int) -> int | None:
+        char = chr(c)
+        self[c] = c if char.isalnum() else None if unicodedata.category(char) == "Cf" else 32
+        return self[c]
+
+
+_LETTERS = _Letters()
 
 
 def words(text: str | None) -> list[str]:
@@ -15,5 +22,5 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_FORMAT)
-    return _WORD(text.lower())
+        text = unicodedata.normalize("NFKC", text)
+    return text.lower().translate(_LETTERS).split()

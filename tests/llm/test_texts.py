@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from darkslide.llm.damage import damaged
-from darkslide.llm.edit_search import EditSearch, within
-from darkslide.llm.leaks import NEAR, leaks
+from darkslide.llm.edit_search import EditSearch, edit_distances
+from darkslide.llm.leaks import FOUND, NEAR, near_windows
 from darkslide.llm.mojibake import repair
 from darkslide.llm.tokens import VOCABULARY, round_trip, token_ids
 from darkslide.llm.transducer import Transducer, Utf8Stream, read_ranks
@@ -61,7 +61,17 @@ def test_words():
 W = [f"w{i}" for i in range(60)]
 
 
-def test_leaks_like_brute_force(spark):
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y or x == 0))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [2_000_000, 900])
+def test_leaks_like_brute_force(spark, monkeypatch, block):
     r = random.Random(8)
     passages = [(i, " ".join(r.choices(W, k=r.choice([5, 12, 30])))) for i in range(20)] + [(90, None), (91, "")]
     docs = [(0, None), (1, ""), (2, "w1 " * 5)]
@@ -70,31 +80,47 @@ def test_leaks_like_brute_force(spark):
         part = p.split()
         at, n = r.randint(0, len(part)), r.randint(4, 14)
         docs.append((d, " ".join(r.choices(W, k=20)) + ", " + ("_" if d % 2 else "\u00ad ").join(part[at : at + n]).upper() + ". " + " ".join(r.choices(W, k=20))))
+    docs += docs[-3:]
     grams = lambda t: {tuple(words(t)[k : k + 10]) for k in range(len(words(t)) - 9)}
     want = {(d, i) for d, t in docs for i, p in passages if grams(t) & grams(p)}
     ddf, pdf = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "eval_id bigint, passage string")
-    assert want and {tuple(x) for x in leaks(ddf, pdf, size=10).collect()} == want
-    assert leaks(ddf, pdf.filter("eval_id > 99"), size=10).count() == 0 and leaks(ddf.filter("doc_id > 99"), pdf, size=10).count() == 0
-
-
-def test_recall_of_edited_windows():
-    r = random.Random(9)
+    monkeypatch.setattr("darkslide.llm.leaks.BLOCK_CHARS", block)
+    got = near_windows(ddf, pdf, **FOUND).collect()
+    assert want and {(x.doc_id, x.eval_id) for x in got if x.edits == 0} == want and len({x[:2] for x in got}) == len(got)
+    symbol = {w: i for i, w in enumerate(W, 1)}
+    coded = lambda g: [symbol[x] for x in g]
+    texts, given = dict(docs), dict(passages)
+    for x in got:
+        assert x.edits == min(plain_distance(coded(a), coded(b)) for a in grams(texts[x.doc_id]) for b in grams(given[x.eval_id])) <= 2
+    assert near_windows(ddf, pdf.filter("eval_id > 99"), **FOUND).count() == 0 and near_windows(ddf.filter("doc_id > 99"), pdf, **FOUND).count() == 0
+
+
+@pytest.mark.parametrize("parameters", [FOUND, NEAR])
+def test_recall_of_edited_windows(parameters):
+    r, n = random.Random(9), parameters["size"]
     vocabulary = [f"v{i}" for i in range(500)]
-    passages = [(i, " ".join(r.choices(vocabulary, k=12))) for i in range(100)]
-    index, found = EditSearch(passages, **NEAR), 0
-    for i, p in passages:
+    passages = [(i, " ".join(r.choices(vocabulary, k=n))) for i in range(200)]
+    index, found = EditSearch(passages, **parameters), 0
+    texts = []
+    for _, p in passages:
         w = p.split()
         for _ in range(2):
-            w[r.randrange(12)] = r.choice(vocabulary)
-        found += i in index.find(" ".join(r.choices(vocabulary, k=9) + w + r.choices(vocabulary, k=9)))
-    assert found >= 90
+            w[r.randrange(n)] = r.choice(vocabulary)
+        texts.append(" ".join(r.choices(vocabulary, k=9) + w + r.choices(vocabulary, k=9)))
+    text, passage, _ = index.find(texts)
+    found = len({i for i, j in zip(text.tolist(), passage.tolist()) if i == j})
+    assert index.tables > 5 and found >= 200 * parameters["recall"] - 6
 
 
-def test_edit_distance():
+def test_edit_distances():
     import numpy as np
 
-    a = np.array([1, 2, 3, 4])
-    assert within(a, np.array([1, 3, 4, 9]), 2) and not within(a, np.array([1, 3, 4, 9]), 1) and not within(np.array([0]), np.array([0]), 0)
+    r = np.random.default_rng(1)
+    a = r.integers(0, 5, (300, 7))
+    b = np.where(r.random((300, 7)) < 0.2, r.integers(1, 5, (300, 7)), np.roll(a, 1, axis=1) * (r.random((300, 1)) < 0.5) + a * 1)
+    for edits in (0, 1, 2, 3):
+        want = [min(plain_distance(x, y), edits + 1) for x, y in zip(a.tolist(), b.tolist())]
+        assert edit_distances(a, b, edits).tolist() == want
 
 
 SOUND = [
