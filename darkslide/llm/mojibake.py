@@ -7,9 +7,10 @@ Spans whose characters could stand side by side in sound text count only next to
 others that could not. The result may be damaged in the same way again, so this
 is repeated until nothing more is found.
 
-Single-byte Cyrillic encodings taken for each other leave no multibyte
-structure; there the reading with more of the language's common letter pairs
-wins. Replacement characters mark stretches that nothing can restore.
+Single-byte encodings taken for each other leave no multibyte structure. There the
+letter pairs of a word tell: ``Pairs`` counts those of all texts, and a word is
+read anew where another reading has far commoner ones. Replacement characters mark
+stretches that nothing can restore.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
 
 #: Encodings that UTF-8 bytes are taken for. C1 controls stand for bytes an encoding leaves open.
 CODECS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "iso8859_2")
@@ -27,7 +31,7 @@ _SPAN = re.compile(rb"(?:" + _SEQUENCE + rb")+")
 _RUSSIAN = set("абвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ")
 _MARKS = set("»”’“‘„‚…—–·•«›‹")
 #: How punctuation begins in encodings that have letters or quotes for its first two bytes.
-_PUNCTUATION_LEADS = {b"\xe2\x80".decode(c) for c in ("mac_roman", "cp437", "cp850")}
+_PUNCTUATION_LEADS = {b"\xe2\x80".decode(c) for c in ("mac_roman", "cp437", "cp850", "cp866", "cp1251")}
 
 
 class _Bytes(dict):
@@ -58,6 +62,8 @@ _TABLES = {c: _table(c) for c in CODECS}
 _SOURCES = "".join(sorted({chr(c) for t in _TABLES.values() for c in t if c > 127}))
 _SUSPECT = re.compile(f"[{re.escape(_SOURCES)}]{{2,}}")
 _SOUND = re.compile("[А-яЁё]+")
+#: Letters in an order that sound words do not have.
+_LEAD = re.compile("[а-яё][А-ЯЁ]")
 
 # Ranges of characters that texts are likely to hold.
 _LIKELY = (
@@ -84,10 +90,10 @@ def _telling(source: str, before: str) -> bool:
     """Whether sound text would not have these characters in a row."""
     if source[0].isupper() and before.islower():
         return True
-    if all(c in _RUSSIAN for c in source):
-        return False
     if len(source) == 3 and source[:2] in _PUNCTUATION_LEADS:
         return True
+    if all(c in _RUSSIAN for c in source):
+        return False
     if all(c.isalpha() or c in _MARKS for c in source):
         # An accented letter beside a quote, or letters of one case; a small letter after capitals is fine too.
         latin_pair = len(source) == 2 and source[0] in "ÂÃÄÅĂĹÐÑ" and source[1].isalpha() and source[1].islower()
@@ -95,31 +101,39 @@ def _telling(source: str, before: str) -> bool:
     return True
 
 
-def _runs(text: str, codec: str) -> list[tuple[list, int]]:
-    """Runs of whole multibyte characters: their likely ones as (start, end, character), and how many of these tell."""
-    raw = text.translate(_TABLES[codec]).encode("latin-1")
+def _runs(text: str, codec: str, sound: bool) -> list[tuple[list, int]]:
+    """Runs of whole multibyte characters: their likely ones as (start, end, character), and how many of these tell.
+
+    All bytes of such a character come from characters of ``_SOURCES``, so only runs of
+    these are read; without ``sound`` those that sound text is full of are passed over.
+    """
     runs = []
-    for run in _SPAN.finditer(raw):
-        parts, telling = [], 0
-        for m in _ONE.finditer(raw, run.start(), run.end()):
-            char = m.group().decode("utf-8")
-            source = text[m.start() : m.end()]
-            likely = _within(ord(char), _LIKELY)
-            if not likely and not _within(ord(char), _IN_RUNS):
-                continue
-            told = _telling(source, text[m.start() - 1] if m.start() else "")
-            telling += told and (likely or len(run.group()) > len(source))
-            parts.append((m.start(), m.end(), char))
-        if parts:
-            runs.append((parts, telling))
+    for m in _SUSPECT.finditer(text):
+        piece, at = m.group(), m.start()
+        if not sound and _SOUND.fullmatch(piece) and not _LEAD.search(piece):
+            continue
+        raw = piece.translate(_TABLES[codec]).encode("latin-1")
+        for run in _SPAN.finditer(raw):
+            parts, telling = [], 0
+            for c in _ONE.finditer(raw, run.start(), run.end()):
+                char = c.group().decode("utf-8")
+                source = piece[c.start() : c.end()]
+                likely = _within(ord(char), _LIKELY)
+                if not likely and not _within(ord(char), _IN_RUNS):
+                    continue
+                told = _telling(source, text[at + c.start() - 1] if at + c.start() else "")
+                telling += told and (likely or len(run.group()) > len(source))
+                parts.append((at + c.start(), at + c.end(), char))
+            if parts:
+                runs.append((parts, telling))
     return runs
 
 
 def _spans(text: str, codec: str) -> list[Span]:
-    runs, found = _runs(text, codec), []
-    strong = [p for parts, telling in runs if telling for p in parts]
-    if not strong:
+    if not any(telling for _, telling in _runs(text, codec, False)):
         return []
+    runs, found = _runs(text, codec, True), []
+    strong = [p for parts, telling in runs if telling for p in parts]
     # Beside spans that tell, spans that do not are damage as well: one letter words for example.
     starts, ends = [p[0] for p in strong], [p[1] for p in strong]
 
@@ -146,93 +160,95 @@ def _apply(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-# Common letter pairs of Russian.
-_PAIRS = frozenset("ст но то на ен ов ни ра во ко ал ли по ре ос пр го ер не та ка ро ла ан ор де ом об ва ло ет он от ат ит ел ле ри ль ин ас за да ве од мо до ся ть ме се те ки им".split())
-_CYRILLIC_WORD = re.compile(r"[А-Яа-яЁёЂ-џ]{2,}")
-_LATIN_RUN = re.compile(r"[À-ÿ¸¨]{2,}")
-#: Pairs of encodings (taken for, meant) of Cyrillic text.
-_CYRILLIC = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1251"), ("latin_1", "koi8_r"), ("iso8859_5", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"))
-
-
-def _pairs(text: str) -> int:
-    t = text.lower()
-    return sum(t[i : i + 2] in _PAIRS for i in range(len(t) - 1))
-
-
-def _reread(char: str, taken: str, meant: str) -> str:
-    try:
-        return char if char.isascii() else char.encode(taken).decode(meant)
-    except UnicodeError:
-        return char
+#: Single-byte encodings taken for each other: (taken for, meant).
+MISTAKEN = tuple(
+    (taken, meant)
+    for family in (("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic"), ("cp1252", "cp1250", "iso8859_2", "mac_roman", "cp437", "cp850", "cp852"))
+    for taken in (*family, *(("cp1252", "latin_1", "mac_roman", "cp437") if family[0] == "cp1251" else ("latin_1",)))
+    for meant in family
+    if taken != meant
+)
+_HIGH = bytes(range(128, 256))
+_LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
+_ALPHABET = _LETTERS + "".join(sorted({c for t in {x for pair in MISTAKEN for x in pair} for c in _HIGH.decode(t, "ignore") if not c.isspace() and ord(c) > 0xA0}))
+_CLASS = np.zeros(0x3000, dtype=np.int64)
+_CLASS[[ord(c) for c in _ALPHABET if ord(c) < 0x3000]] = [i for i, c in enumerate(_ALPHABET, 1) if ord(c) < 0x3000]
+#: Classes of characters: each of the alphabet, and 0 for all others.
+CLASSES = len(_ALPHABET) + 1
+_WORD = re.compile(f"[{re.escape(_ALPHABET)}]*[{re.escape(_ALPHABET[52:])}][{re.escape(_ALPHABET)}]*")
+#: Words of one script.
+_SCRIPT = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+|[Ѐ-ӿ]+")
+_REREAD = [str.maketrans({taken: meant for byte in _HIGH for taken, meant in [(bytes([byte]).decode(a, "ignore"), bytes([byte]).decode(b, "ignore"))] if taken and meant}) for a, b in MISTAKEN]
+
+
+def pairs(text: str) -> np.ndarray:
+    """Numbers of the pairs of neighbours of which one is a character of the alphabet beyond ASCII."""
+    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    c = _CLASS[np.where(c < 0x3000, c, 0)]
+    high = c > len(_LETTERS)
+    return (c[:-1] * CLASSES + c[1:])[high[:-1] | high[1:]]
+
+
+class Pairs:
+    """How common pairs of neighbours are: from counts by the number of the pair, over all texts."""
+
+    #: Pairs rarer than this share make a word worth another reading.
+    RARE = 1e-4
+    #: A reading is taken if it makes the pairs of all its words together so many times likelier (logarithm), and those of each word LEAST.
+    SURE, LEAST = 7.0, 1.5
+
+    def __init__(self, counts: np.ndarray):
+        self.log = np.log(counts + 0.5)
+        self.rare = counts < self.RARE * counts.sum()
+        self.readings = lru_cache(maxsize=200_000)(self._readings)
+
+    def odd(self, text: str) -> bool:
+        return bool(self.rare[pairs(text)].any())
+
+    def _readings(self, word: str) -> tuple[tuple[int, str, float], ...]:
+        """(number in MISTAKEN, word read so, gain) of the readings that make the word likelier."""
+        before, out, seen = self.log[pairs(word)].sum(), [], {word}
+        for i, table in enumerate(_REREAD):
+            other = word.translate(table)
+            if other in seen or not _SCRIPT.fullmatch(other) or len(pairs(other)) != len(pairs(word)):
+                continue
+            if (gain := float(self.log[pairs(other)].sum() - before)) >= self.LEAST:
+                out.append((i, other, gain))
+        return tuple(out)
 
 
-def _cyrillic(text: str) -> tuple[str, list[Span]]:
-    """Words whose letters make more sense in another single-byte encoding, if there are enough of them in a row."""
-    for taken, meant in _CYRILLIC:
-        pattern = _LATIN_RUN if taken in ("cp1252", "latin_1") else _CYRILLIC_WORD
-        words = []
-        for m in pattern.finditer(text):
-            try:
-                other = m.group().encode(taken).decode(meant)
-            except UnicodeError:
-                continue
-            sound = other[0].isalpha() and (other[1:].islower() or other.isupper()) and all(c in _RUSSIAN for c in other)
-            odd = m.group()[1:].isupper() or not m.group().isalpha() or pattern is _LATIN_RUN
-            if sound and odd:
-                words.append((m, other, _pairs(other) - _pairs(m.group())))
-        stretches: list[list] = []
-        for w in words:
-            gap = text[stretches[-1][-1][0].end() : w[0].start()] if stretches else ""
-            if stretches and len(gap) <= 12 and not re.search(r"[А-Яа-яЁё]{2}", gap):
-                stretches[-1].append(w)
-            else:
-                stretches.append([w])
-        good = [s for s in stretches if sum(g for _, _, g in s) >= 3 and sum(len(o) for _, o, _ in s) >= 6]
-        if good:
-            spans = []
-            for s in good:  # the whole stretch, words of one letter included
-                a, b = s[0][0].start(), s[-1][0].end()
-                while a >= 2 and text[a - 1] in " ,;(" and not text[a - 2].isascii() and (a < 3 or text[a - 3] in " ,;("):
-                    a -= 2
-                spans.append(Span(a, b, "".join(_reread(c, taken, meant) for c in text[a:b])))
-            return _apply(text, spans), spans
-    return text, []
-
-
-# Polish letters of cp1250 as cp1252 shows them, and those of them that are no letters or stand where none does.
-_POLISH_WORD = re.compile(r"[^\W\d_¹³]*[¹³¿œŒæÆêÊñÑŸ£¥¯Œ][^\W\d_]*(?:[¹³¿£¥¯][^\W\d_]*)*")
-_POLISH = set("aąbcćdeęfghijklłmnńoóprsśtuwyzźżAĄBCĆDEĘFGHIJKLŁMNŃOÓPRSŚTUWYZŹŻ")
-_INSIDE = re.compile(r"[^\W\d_][¹³£¥¯](?!\d)[^\W\d_]|[a-z]¿|\bŸ[a-z]")
-
-
-def _polish(text: str) -> tuple[str, list[Span]]:
-    """Polish words of cp1250 that were taken for cp1252, if a letter of some word became a sign."""
-    if not _INSIDE.search(text):
+def _single_byte(text: str, model: Pairs) -> tuple[str, list[Span]]:
+    """Words of one mistaken encoding, that which gains most, read anew; nothing if the gain is not sure."""
+    if not model.odd(text):
         return text, []
-    spans, sure = [], False
-    for m in _POLISH_WORD.finditer(text):
-        try:
-            other = m.group().encode("cp1252").decode("cp1250")
-        except UnicodeError:
-            continue
-        if len(other) > 1 and all(c in _POLISH for c in other):
-            spans.append(Span(m.start(), m.end(), other))
-            sure = sure or bool(_INSIDE.search(m.group()))
-    return (_apply(text, spans), spans) if sure else (text, [])
+    found: dict[int, list] = {}
+    for m in _WORD.finditer(text):
+        for i, other, gain in model.readings(m.group()):
+            found.setdefault(i, []).append((gain, Span(m.start(), m.end(), other)))
+    if not found:
+        return text, []
+    # A single letter goes along with others, but does not tell.
+    sure = lambda words: sum(g for g, s in words if s.end - s.start > 1)
+    best = max(found.values(), key=sure)
+    if sure(best) < Pairs.SURE:
+        return text, []
+    spans = [s for _, s in best]
+    return _apply(text, spans), spans
 
 
-def repair(text: str | None) -> tuple[str | None, int, bool]:
+def repair(text: str | None, model: Pairs | None = None) -> tuple[str | None, int, bool]:
     """(restored text, damaged stretches found, whether all of them are restored).
 
     A null, empty or sound text comes back as it is with 0 stretches. Replacement
     characters count as stretches and stay. Restored means that a last pass with the
-    encodings undone finds no more characters, not even such as do not tell.
+    encodings undone finds no more characters, not even such as do not tell. Without
+    ``model`` single-byte encodings taken for each other are not looked for.
     """
     if not text or text.isascii():
         return text, 0, True
     total, undone = 0, set()
     while True:  # each round makes the text shorter
-        if not any(not _SOUND.fullmatch(m.group()) for m in _SUSPECT.finditer(text)):
+        if not any(_LEAD.search(m.group()) or not _SOUND.fullmatch(m.group()) for m in _SUSPECT.finditer(text)):
             break
         best: list[Span] = []
         for codec in CODECS:
@@ -244,8 +260,10 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
         total += len(best)
         text = _apply(text, best)
         undone.add(by)
-    text, spans = _cyrillic(text)
-    if not spans:
-        text, spans = _polish(text)
-    lost = text.count("�")
-    return text, total + len(spans) + lost, not lost and not any(_runs(text, c) for c in undone)
+    while model is not None:  # each round makes the text's pairs likelier
+        text, spans = _single_byte(text, model)
+        if not spans:
+            break
+        total += len(spans)
+    lost = text.count("\ufffd")
+    return text, total + lost, not lost and not any(_runs(text, c, True) for c in undone)

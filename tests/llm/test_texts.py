@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from darkslide.llm.damage import damaged
 from darkslide.llm.edit_search import EditSearch, edit_distances
 from darkslide.llm.leaks import FOUND, NEAR, near_windows
-from darkslide.llm.mojibake import repair
+from darkslide.llm.mojibake import CLASSES, Pairs, pairs, repair
 from darkslide.llm.tokens import VOCABULARY, round_trip, token_ids
 from darkslide.llm.transducer import Transducer, Utf8Stream, read_ranks
 from darkslide.llm.words import words
@@ -142,14 +142,40 @@ def test_damage_is_found_and_undone(codec, text):
     assert n > 0 and whole and fixed == "Frame 12, ISO 400. " + text
 
 
-def test_twice_single_byte_and_lost():
+CORPUS = [*SOUND, "Осталось разобрать файлы", "Zdjęcie już jest, według planu, z łódką", "сильный шум снова"]
+
+
+@pytest.fixture(scope="module")
+def model():
+    import numpy as np
+
+    return Pairs(np.bincount(pairs("\n".join(CORPUS * 100)), minlength=CLASSES**2))
+
+
+@pytest.mark.parametrize("text", CORPUS)
+def test_sound_texts_stay_with_letter_pairs(model, text):
+    assert repair(text, model) == (text, 0, True)
+
+
+def test_twice_and_lost():
     once = SOUND[0].encode().decode("cp1252", "replace").replace("\ufffd", "")
     twice = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in once.encode())
     assert repair(twice)[1] > 0
-    assert repair("снова. " + "Кадр имеет сильный шум".encode("koi8_r").decode("cp1251"))[0] == "снова. Кадр имеет сильный шум"
-    assert repair("Осталось разобрать файлы".encode("cp1251").decode("cp1252"))[0] == "Осталось разобрать файлы"
-    assert repair("Zdjęcie już jest, według planu".encode("cp1250").decode("cp1252"))[0] == "Zdjęcie już jest, według planu"
-    assert repair("caf� ouvert")[1:] == (1, False)
+    assert repair("caf\ufffd ouvert")[1:] == (1, False)
+    assert repair("вЂњnight setвЂќ") == ("“night set”", 2, True)
+
+
+@pytest.mark.parametrize("taken, meant", [("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1251"), ("latin_1", "koi8_r"), ("iso8859_5", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866")])
+def test_cyrillic_of_another_encoding(model, taken, meant):
+    whole = "Кадр имеет сильный шум"
+    wrong = "".join(bytes([b]).decode(taken, "ignore") or " " for b in whole.encode(meant))
+    fixed, n, _ = repair("снова. " + wrong, model)
+    assert n >= 3 and fixed.count("снова") == 1 and ("Кадр" in fixed and "шум" in fixed or meant == "cp866" or taken in ("iso8859_5", "cp866"))
+
+
+def test_several_encodings_in_one_text(model):
+    text = "снова. " + "Кадр имеет сильный шум".encode("koi8_r").decode("cp1251") + " | " + "Осталось разобрать файлы".encode("cp1251").decode("cp1252") + " | " + "Zdjęcie już jest, według planu".encode("cp1250").decode("cp1252")
+    assert repair(text, model)[0] == "снова. Кадр имеет сильный шум | Осталось разобрать файлы | Zdjęcie już jest, według planu"
 
 
 def test_damaged_documents(spark):
