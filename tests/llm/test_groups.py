@@ -67,35 +67,48 @@ def test_splits_keep_units_and_shares(spark):
 
 def brute(candidates):
     best = None
-    for picks in product(*[[*range(len(c)), None] for c in candidates]):
+    for picks in product(*[[*c, None] for c in candidates]):
         held, ok = {}, True
-        for c, p in zip(candidates, picks):
-            if p is not None:
-                for k, v in c[p][1].items():
-                    ok &= held.setdefault(k, v) == v
-        ranks = tuple(len(c) if p is None else p for c, p in zip(candidates, picks))
-        if ok and (best is None or ranks < best[0]):
-            best = (ranks, [None if p is None else c[p][0] for c, p in zip(candidates, picks)])
-    return best[1]
+        for p in picks:
+            for k, v in (p[1] if p else {}).items():
+                ok &= held.setdefault(k, v) == v
+        rank = (-sum(p[2] for p in picks if p), tuple((p is None, p[0] if p else 0) for p in picks))
+        if ok and (best is None or rank < best[0]):
+            best = (rank, [p and p[0] for p in picks])
+    return -best[0][0], best[1]
 
 
 def test_branch_and_bound_is_the_best_of_all():
     r = random.Random(3)
-    for _ in range(300):
-        candidates = [[(r.randint(1, 99), {k: r.choice("xy") for k in r.sample("pq", r.randint(0, 2))}) for _ in range(r.randint(0, 4))] for _ in range(3)]
+    for _ in range(400):
+        candidates = [[(r.randint(1, 99), {k: r.choice("xy") for k in r.sample("pq", r.randint(0, 2))}, r.randint(1, 5)) for _ in range(r.randint(0, 4))] for _ in range(3)]
         assert choose(candidates) == brute(candidates)
 
 
 def test_survivors(spark):
-    rows = [(1, 10, .5, "a", "a"), (1, 10, .5, "a", "a"), (1, 11, None, "b", "a"), (1, 12, float("nan"), None, "b"), (2, 20, 1., "a", "a"), (None, 1, 1., "a", "a"), (3, 30, None, None, None), (3, 31, None, None, None)]
-    df = spark.createDataFrame(rows, "g bigint, item bigint, score double, p string, q string").withColumn("lo", F.lit(0)).withColumn("id", F.lit(0))
+    rows = [(1, 10, .5, "a", "a", 3), (1, 10, .5, "a", "a", 3), (1, 11, None, "b", "a", 2), (1, 12, float("nan"), None, "b", 9), (2, 20, 1., "a", "a", 1), (None, 1, 1., "a", "a", 1), (3, 30, None, None, None, 1), (3, 31, None, None, None, 1)]
+    df = spark.createDataFrame(rows, "g bigint, item bigint, score double, p string, q string, t bigint").withColumn("lo", F.lit(0)).withColumn("id", F.lit(0))
     score = F.when(~F.isnan("score"), F.col("score"))
     bundles = [
         Bundle("pick", F.lit(True), descending(score)),
-        Bundle("first", F.col("p").isNotNull(), [F.col("p")], {"letter": F.col("p")}),
-        Bundle("second", F.col("q").isNotNull(), [F.when(F.col("q") == "b", 0).otherwise(1)], {"letter": F.col("q")}),
+        Bundle("first", F.col("p").isNotNull(), claims={"letter": F.col("p")}, trust=F.col("t")),
+        Bundle("second", F.col("q").isNotNull(), claims={"letter": F.col("q")}, trust=F.col("t")),
     ]
     got = {r.g: (r.pick, r["first"], r.second) for r in survivors(df, "g", "item", bundles).collect()}
-    # the first bundle claims a, so the second has to do without its favourite b
-    assert got == {1: (10, 10, 10), 3: (30, None, None)}
+    # The first bundle gives up its favourite a, since b lets the second have its own: 2 + 9 is more than 3 + 3.
+    assert got == {1: (10, 11, 12), 3: (30, None, None)}
     assert survivors(df.filter("g > 99"), "g", "item", bundles).count() == 0
+    assert {r.g: r.pick for r in survivors(df, "g", "item", bundles[:1]).collect()} == {1: 10, 3: 30}
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_values_are_searched_in_parts(spark, monkeypatch, at_once):
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, 1, 2, 3]), i, str(r.randint(0, 30)), str(r.randint(20, 50)), r.randint(1, 9)) for i in range(300)]
+    monkeypatch.setattr("darkslide.llm.survivors.VALUES_AT_ONCE", at_once)
+    bundles = [Bundle("a", F.lit(True), claims={"v": F.col("p")}, trust=F.col("t")), Bundle("b", F.lit(True), claims={"v": F.col("q")}, trust=F.col("t"))]
+    got = {x.g: [x.a, x.b] for x in survivors(spark.createDataFrame(rows, "g bigint, item bigint, p string, q string, t bigint"), "g", "item", bundles).collect()}
+    for g in (1, 2, 3):
+        mine = [x for x in rows if x[0] == g]
+        options = [(-a[4] - b[4], a[1], b[1]) for a in mine for b in mine if a[2] == b[3]] + [(-a[4], a[1], 1 << 60) for a in mine]
+        assert got[g] == [i if i < 1 << 60 else None for i in min(options)[1:]]
