@@ -9,13 +9,15 @@ survive the loss of that machine.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own_folder: str | None = None
+_folders: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,32 +25,48 @@ def shared_folder(spark: SparkSession) -> str:
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="darkslide-")
             atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
         named = _own_folder
-    return f"{named.rstrip('/')}/darkslide-{spark.sparkContext.applicationId}"
+    folder = f"{named.rstrip('/')}/darkslide-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is; one that is gone does no harm."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session's virtual machine may be gone at exit
+        pass
 
 
 class Written:
     """A DataFrame written as parquet to the shared folder.
 
     ``df`` reads it again: the plan then begins at a scan, a lost executor costs
-    no recomputation, and the optimizer knows the size. ``drop()`` deletes it.
+    no recomputation, and the optimizer knows the size. ``drop()`` deletes it; what a
+    result still reads goes with the application's folder when the driver ends.
     """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, **stats: Column):
+        """``stats``: aggregates of the rows by name, which the write itself finds; ``self.stats`` has them, null or missing if there are no rows."""
         spark = df.sparkSession
         self._spark, self.path = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(self.path)
+        seen = Observation() if stats else None
+        observed = df.observe(seen, *[c.alias(n) for n, c in stats.items()]) if seen else df
+        observed.write.parquet(self.path)
+        self.stats = seen.get if seen else {}
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self._spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self._spark, self.path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -58,4 +76,4 @@ def spread(df: DataFrame) -> DataFrame:
     would leave cores idle and is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

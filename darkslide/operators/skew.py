@@ -20,13 +20,16 @@ def skew_safe_lookup(
     number of ``rows`` of that key; else the rows are counted here. Hot keys
     travel as a broadcast, whose size ``hot_rows`` bounds; their rows are not
     shuffled by key but spread by a hash of the row that meets no value. Null
-    keys are spread likewise and get nulls. ``key`` is a bigint.
+    keys are spread likewise and get nulls. ``largest``: no key has more rows, nor is
+    null in more; if that is no more than ``hot_rows``, a plain join does.
     """
+    if largest is not None and largest <= hot_rows:
+        return rows.join(values.select(key, *payload), key, "left").select(*rows.columns, *payload)
     names = [f"__{i}" for i in range(len(payload))]
     pack = F.struct(*[F.col(p).alias(n) for p, n in zip(payload, names)])
     if count is None:
         many = rows.groupBy(key).agg(F.count("*").alias("__n")).filter((F.col("__n") > hot_rows) & F.col(key).isNotNull())
-        hot = values.join(F.broadcast(many.select(key)), key, "left_semi")
+        hot = values.join(F.broadcast(many.select(key)), key, "left_semi")  # at most rows / hot_rows keys
         cold = values
     else:
         hot, cold = values.filter(F.col(count) > hot_rows), values.filter(F.col(count) <= hot_rows)
