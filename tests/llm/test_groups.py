@@ -38,8 +38,10 @@ def test_hash_to_min(spark, name):
     assert {r.item: r.root for r in got.collect()} == union_find(GRAPHS[name]) and got.count() == len(union_find(GRAPHS[name]))
 
 
+@pytest.mark.parametrize("remainder", [0, 40, 20_000])
 @pytest.mark.parametrize("name", ["empty", "loops", "repeated", "star", "random"])
-def test_random_mate(spark, name):
+def test_random_mate(spark, monkeypatch, name, remainder):
+    monkeypatch.setattr("darkslide.llm.random_mate.REMAINDER", remainder)
     df = spark.createDataFrame(GRAPHS[name], "u bigint, v bigint")
     want = union_find(GRAPHS[name])
     assert sorted((r.item, r.unit) for r in units(df).collect()) == sorted(want.items())
@@ -65,6 +67,12 @@ def test_splits_keep_units_and_shares(spark):
             assert abs(sum(g.n for g in got if g.stratum == s and g.split == name) / total - share) < 0.01
 
 
+def test_evaluation_splits_get_units_of_all_sizes(spark):
+    df = spark.createDataFrame([(i, "a", 1 + i % 4) for i in range(4000)], "unit bigint, stratum string, n int")
+    sizes = {(r.split, r.n) for r in split_units(df, [("train", .8), ("val", .1), ("test", .1)]).collect()}
+    assert len(sizes) == 12
+
+
 def brute(candidates):
     best = None
     for picks in product(*[[*c, None] for c in candidates]):
