@@ -86,7 +86,7 @@ def components(text: str | None) -> tuple | None:
     zone is minutes, a ZoneInfo, or None if the text has none. Null, blank and
     texts of any other form are unreadable.
     """
-    if text is None or len(text) > 200:
+    if text is None:
         return None
     m = ALTERNATION.match(text.strip(_BLANK))
     if not m:

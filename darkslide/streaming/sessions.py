@@ -13,44 +13,40 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from darkslide.operators.sessions import KeyedTimers
 
 OUTPUT = "key string, start bigint, end bigint, n bigint"
-STATE = "start bigint, end bigint, n bigint"
+STATE = "start array<bigint>, end array<bigint>, n array<bigint>"
 
 
 def stream_sessions(events: DataFrame, key: str, ts: str, gap_us: int, lateness: str = "10 minutes") -> DataFrame:
     """Sessions of a streaming table, each emitted when its timer fires: the watermark has passed its end by more than the gap.
 
-    Events later than the watermark allows are dropped, as streams must; the batch
+    Until then it stays open, so that an event that is late by no more than the
+    watermark allows goes on with it, comes before it, or joins two of them; a key may
+    have several open sessions. Later events are dropped, as streams must; the batch
     operator ``sessionize`` takes them all. Null keys and times are ignored.
     """
     e = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).dropna()
     e = e.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lo, hi, n = (np.array(x, dtype=np.int64) for x in state.get) if state.exists else (np.zeros(0, dtype=np.int64),) * 3
+        if not state.hasTimedOut:
+            at = np.concatenate([b["at"].to_numpy() for b in batches])
+            lo, hi, n = np.r_[lo, at], np.r_[hi, at], np.r_[n, np.ones(len(at), dtype=np.int64)]
+        # Open sessions and new events in order; what a timer does not part becomes one.
+        order = np.argsort(lo, kind="stable")
         timers = KeyedTimers(gap_us)
-        if state.exists:
-            start, end, n = state.get
-            timers.open = (k[0], start, end, n)
-        if state.hasTimedOut:
-            done = timers.close()
+        parts = [timers.update(np.full(len(lo), k[0], dtype=object), lo[order], np.maximum.accumulate(hi[order]), n[order]), timers.close()]
+        sessions = _sessions(pd.concat([p for p in parts if len(p)] or parts[:1]))
+        over = sessions["end"] + gap_us < state.getCurrentWatermarkMs() * 1000
+        still = sessions[~over]
+        if len(still):
+            state.update((still["start"].tolist(), still["end"].tolist(), still["n"].tolist()))
+            # Spark's timers are in milliseconds; one more so that a gap of exactly gap_us still joins.
+            state.setTimeoutTimestamp(max(int((still["end"].min() + gap_us) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            yield _sessions(done)
-            return
-        at = np.concatenate([b["at"].to_numpy() for b in batches])
-        lo, hi, n = at, at, np.ones(len(at), dtype=np.int64)
-        if timers.open is not None:  # a late event may come before the open session's end, or even before its start
-            _, start, end, count = timers.open
-            timers.open = None
-            lo, hi, n = np.r_[start, lo], np.r_[end, hi], np.r_[count, n]
-        order = np.argsort(lo, kind="stable")
-        hi = np.maximum.accumulate(hi[order])
-        keys = np.full(len(lo), k[0], dtype=object)
-        done = timers.update(keys, lo[order], hi, n[order])
-        _, start, end, count = timers.open
-        state.update((int(start), int(end), int(count)))
-        # Spark's timers are in milliseconds; one more so that a gap of exactly gap_us still joins.
-        state.setTimeoutTimestamp(max(int((end + gap_us) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        if len(done):
-            yield _sessions(done)
+        if over.any():
+            yield sessions[over]
 
     return e.groupBy("key").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -25,6 +25,9 @@ def at(*parts, micro=0):
     ("2013-06-16T15:32:17,509+0930", None, at(2013, 6, 16, 6, 2, 17, micro=509000)),
     ("20110129_115033", "Europe/Berlin", at(2011, 1, 29, 10, 50, 33)),
     ("20150219T023001Z", "Europe/Berlin", at(2015, 2, 19, 2, 30, 1)),
+    ("2014:11:21 18:24:10" + " " * 250, "UTC", at(2014, 11, 21, 18, 24, 10)),
+    ("2014:11:21 18:24:10." + "123456789" * 25, "UTC", at(2014, 11, 21, 18, 24, 10, micro=123456)),
+    ("2014:11:21 18:24:10" + " " * 100_000 + "x", "UTC", None),
     ("27.04.2017 05:51:51", "UTC", at(2017, 4, 27, 5, 51, 51)),
     ("05/07/2015 01:19:14 PM", "UTC", at(2015, 5, 7, 13, 19, 14)),
     ("10/01/2014 12:27:57 AM", "UTC", at(2014, 10, 1, 0, 27, 57)),

@@ -27,6 +27,20 @@ def test_stream_finds_the_sessions_of_the_batch(spark, tmp_path):
     assert [tuple(r) for r in got] == want
 
 
+def test_stream_joins_what_comes_out_of_order(spark, tmp_path):
+    """An event within the watermark joins two sessions that later events had parted, and one before all others opens a session."""
+    t = datetime(2024, 1, 1, 12)
+    batches = [[("a", 30), ("a", 41)], [("a", 35), ("a", 22), ("b", 36)], [("end", 600)], [("end", 601)]]
+    for part in batches:
+        spark.createDataFrame([(k, t + timedelta(minutes=m)) for k, m in part], "key string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = drain(spark, stream_sessions(stream, "key", "ts", 600_000_000, "20 minutes"), "append", "disorder", tmp_path / "c").collect()
+    got = sorted((r.key, (r.start // 60_000_000 - out[0].start // 60_000_000), r.n) for r in out)
+    assert [(k, n) for k, _, n in got] == [("a", 4), ("b", 1)]
+    a = next(r for r in out if r.key == "a")
+    assert a.end - a.start == 19 * 60_000_000
+
+
 def test_stream_of_label_changes(spark, tmp_path):
     log = [(1, 1, "keep", "auto"), (1, 2, "trash", "manual"), (1, 3, "keep", "auto"), (2, 4, "trash", "auto"), (2, 5, "", "auto"), (3, 6, "keep", "manual"), (3, 7, "", "manual"), (3, 8, "trash", "auto")]
     df = spark.createDataFrame(log, "path bigint, seq bigint, state string, source string")
