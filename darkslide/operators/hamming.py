@@ -18,6 +18,9 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.operators.graph import connected_components
+from darkslide.operators.skew import skew_safe_lookup
+
 VALID = "^[0-9A-Fa-f]{16}$"
 
 
@@ -72,12 +75,11 @@ def near_duplicate_groups(items: DataFrame, threshold: int = 8, exact: bool = Tr
 
     Items without a hash are groups of their own, as are items near no other.
     """
-    from darkslide.operators.graph import connected_components
-
     i = items.select("item_id", "h").filter("item_id is not null").distinct()
-    named = i.filter("h is not null").groupBy("h").agg(F.min("item_id").alias("first"))
+    named = i.filter("h is not null").groupBy("h").agg(F.min("item_id").alias("first"), F.count("*").alias("n"))
     pairs = hamming_pairs(named.select("h"), threshold, exact)
     a, b = named.select(F.col("h").alias("a"), F.col("first").alias("u")), named.select(F.col("h").alias("b"), F.col("first").alias("v"))
-    roots = connected_components(pairs.join(a, "a").join(b, "b").select("u", "v"))
-    joined = i.join(named, "h", "left").join(roots.select(F.col("item").alias("first"), "root"), "first", "left")
-    return joined.select("item_id", F.coalesce("root", "first", "item_id").alias("group_root"))
+    roots = connected_components(pairs.join(a, "a").join(b, "b").select("u", "v")).select(F.col("item").alias("first"), "root")
+    rooted = named.join(roots, "first", "left").select("h", "n", F.coalesce("root", "first").alias("root"))
+    # Items without a hash, and those of a common one, are spread.
+    return skew_safe_lookup(i, "h", rooted, ["root"], "n").select("item_id", F.coalesce("root", "item_id").alias("group_root"))

@@ -2,7 +2,8 @@
 
 The sequence is cut by key and day. Within a part, the previous row is at hand;
 the first row of a part takes it from a table of the parts (as many rows as keys
-times days), which also adds up how many runs began in earlier parts.
+times days), which also adds up how many runs began in earlier parts. That table is
+sorted in ranges, so that no task sees all of it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ def gap_ids(rows: DataFrame, key: str, at: str, tie: str, gap: int, name: str, s
     """
     r = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("__day", F.expr(f"({at} - pmod({at}, {DAY_US}L)) div {DAY_US}L"))
     parts = r.groupBy(key, "__day").agg(F.max(at).alias("__last"), F.min(at).alias("__start"))
-    order = Window.partitionBy(key).orderBy("__day") if split_keys else Window.orderBy(key, "__day")
-    parts = parts.select(key, "__day", F.lag("__last").over(order).alias("__before"))
+    if split_keys:
+        parts = parts.select(key, "__day", F.lag("__last").over(Window.partitionBy(key).orderBy("__day")).alias("__before"))
+    else:
+        ranked = dense_index(parts, [F.asc(key), F.asc("__day")], "__at")
+        before = ranked.select((F.col("__at") + 1).alias("__at"), F.col("__last").alias("__before"))
+        parts = ranked.join(before, "__at", "left").select(key, "__day", "__before")
     inside = Window.partitionBy(key, "__day").orderBy(at, tie)
     prev = F.coalesce(F.lag(at).over(inside), F.col("__before"))
     r = r.join(parts, [key, "__day"]).withColumn("__prev", prev)
@@ -32,8 +37,7 @@ def gap_ids(rows: DataFrame, key: str, at: str, tie: str, gap: int, name: str, s
     r = r.withColumn("__opens", opens)
     r = r.withColumn("__runs", F.sum("__opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     counts = r.groupBy(key, "__day").agg(F.sum("__opens").alias("__n"))
-    earlier = Window.orderBy(key, "__day").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(key, "__day", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__earlier"))
+    counts = running_sums(counts, [F.asc(key), F.asc("__day")], ["__n"]).select(key, "__day", (F.col("run___n") - F.col("__n")).alias("__earlier"))
     out = r.join(counts, [key, "__day"]).withColumn(name, F.col("__earlier") + F.col("__runs") - 1)
     return out.select(*rows.columns, name)
 

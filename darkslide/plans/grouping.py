@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from darkslide.operators.blocks import bit_distances, by_size, forest, in_blocks
 from darkslide.operators.graph import connected_components
 from darkslide.operators.hamming import distance, hamming_pairs, hash_bits, near_duplicate_groups
 from darkslide.operators.photos import clean_camera, current_photos, epoch_us
-from darkslide.operators.sequence import gap_ids
+from darkslide.operators.sequence import dense_index, gap_ids
 from darkslide.operators.shared import Written
-from darkslide.operators.skew import first_rows
+from darkslide.operators.skew import first_rows, skew_safe_lookup
 from darkslide.sources.tables import table
 
 SESSION_US, BURST_US, NEAR_BITS, MERGE_BITS = 600_000_000, 15_000_000, 8, 30
@@ -98,20 +101,35 @@ def g2_near_duplicates_lossy(spark, data):
 
 def g3_equal_hash_groups(spark, data):
     i = items(spark, data).select("item_id", hash_bits("phash").alias("h"))
-    first = i.filter("h is not null").groupBy("h").agg(F.min("item_id").alias("first"))
-    return i.join(first, "h", "left").select("item_id", F.coalesce("first", "item_id").alias("group_root"))
+    first = i.filter("h is not null").groupBy("h").agg(F.min("item_id").alias("first"), F.count("*").alias("n"))
+    return skew_safe_lookup(i, "h", first, ["first"], "n").select("item_id", F.coalesce("first", "item_id").alias("group_root"))
 
 
 def _burst_merge(s: DataFrame, groups: DataFrame, burst: str) -> DataFrame:
     """Groups that share a burst and come within MERGE_BITS of each other become one: (item_id, group_root)."""
     g = s.select("item_id", "h", burst).join(groups, "item_id").filter(F.col("h").isNotNull() & F.col(burst).isNotNull())
-    g = g.select(burst, "group_root", "h").distinct()
-    a, b = g.select(burst, F.col("group_root").alias("u"), F.col("h").alias("a")), g.select(burst, F.col("group_root").alias("v"), F.col("h").alias("b"))
-    close = a.join(b, burst).filter((F.col("u") < F.col("v")) & (distance("a", "b") <= MERGE_BITS)).select("u", "v").distinct()
-    roots = connected_components(close).select(F.col("item").alias("group_root"), "root")
+    g = Written(g.select(F.col(burst).cast("bigint").alias("burst"), "group_root", "h").distinct(), "bursts").df
+    few, many = by_size(g, "burst")
+    a, b = few.select("burst", F.col("group_root").alias("u"), F.col("h").alias("a")), few.select("burst", F.col("group_root").alias("v"), F.col("h").alias("b"))
+    close = a.join(b, "burst").filter((F.col("u") < F.col("v")) & (distance("a", "b") <= MERGE_BITS)).select("u", "v").distinct()
+    links = in_blocks(many, "burst", _close_groups, "u bigint, v bigint")
+    roots = connected_components(close.unionByName(links)).select(F.col("item").alias("group_root"), "root")
     return groups.join(roots, "group_root", "left").select("item_id", F.coalesce("root", "group_root").alias("group_root"))
 
 
+def _close_groups(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """What ties the groups of two blocks together, as links to the least group."""
+    h, k = left["h"].to_numpy(np.int64), right["h"].to_numpy(np.int64)
+    g, r = left["group_root"].to_numpy(np.int64), right["group_root"].to_numpy(np.int64)
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(h), 512):
+        i, j = np.nonzero(bit_distances(h[at : at + 512], k) <= MERGE_BITS)
+        u, v = forest(g[at + i], r[j])
+        us, vs = [*us, u], [*vs, v]
+    u, v = forest(np.concatenate(us), np.concatenate(vs))
+    return pd.DataFrame({"u": u, "v": v})
+
+
 def g4_burst_merge(spark, data):
     s = items(spark, data).select("item_id", hash_bits("phash").alias("h"), F.when(F.col("burst_id") != -1, F.col("burst_id")).alias("burst"))
     return _burst_merge(s, near_duplicate_groups(s, NEAR_BITS), "burst")
@@ -139,20 +157,70 @@ def g7_grouping(spark, data):
         "item_id", "session_id", "burst_id", F.col("group_root").alias("group_id"), "group_size", (F.col("item_id") == F.col("best_id")).alias("is_group_best"), F.col("score").alias("pick_score"))
 
 
+def _spread_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Per pair of kinds of two blocks: least, greatest and sum of the distances of their hashes, and their number."""
+    left, right = left.sort_values("kind"), right.sort_values("kind")
+    (x, i), (y, j) = (np.unique(f["kind"].to_numpy(np.int64), return_index=True) for f in (left, right))
+    d = bit_distances(left["h"].to_numpy(np.int64), right["h"].to_numpy(np.int64))
+    least, greatest, total = (f.reduceat(f.reduceat(m, i, axis=0), j, axis=1).ravel() for f, m in ((np.minimum, d), (np.maximum, d), (np.add, d.astype(np.int32))))
+    n = np.outer(np.diff(np.r_[i, len(left)]), np.diff(np.r_[j, len(right)])).ravel()
+    a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+    out = {"key": left["key"].iloc[0], "g1": np.minimum(a, b), "g2": np.maximum(a, b), "least": least, "greatest": greatest, "total": total, "pairs": n}
+    return pd.DataFrame(out).astype("int64")
+
+
+_SPREAD = "key bigint, g1 bigint, g2 bigint, least bigint, greatest bigint, total bigint, pairs bigint"
+
+
+def _wide(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Of one kind: pairs of different hashes, each once, although a block meets itself both ways."""
+    h, k = np.sort(left["h"].to_numpy(np.int64)), right["h"].to_numpy(np.int64)
+    same = len(h) == len(k) and (h == np.sort(k)).all()
+    least, greatest, total = 64, 0, 0
+    for at in range(0, len(h), 512):
+        d = bit_distances(h[at : at + 512], k)
+        total += int(d.sum())
+        greatest = max(greatest, int(d.max()))
+        least = min(least, int(d[d > 0].min()) if (d > 0).any() else 64)
+    pairs = len(h) * (len(h) - 1) // 2 if same else len(h) * len(k)
+    if not pairs:
+        return pd.DataFrame([], columns=["key", "g1", "g2", "least", "greatest", "total", "pairs"]).astype("int64")
+    return pd.DataFrame([(int(left["key"].iloc[0]), 0, 0, least, greatest, total // (2 if same else 1), pairs)], columns=["key", "g1", "g2", "least", "greatest", "total", "pairs"])
+
+
 def g9_wide_groups(spark, data):
     """Stored groups whose hashes lie further apart than they should, with least and greatest distance."""
-    g = items(spark, data).filter("group_id is not null and group_id <> -1").select("group_id", hash_bits("phash").alias("h")).dropna().distinct()
-    pairs = g.select("group_id", F.col("h").alias("a")).join(g.select("group_id", F.col("h").alias("b")), "group_id").filter("a < b")
-    return pairs.groupBy("group_id").agg(F.min(distance("a", "b")).alias("least"), F.max(distance("a", "b")).alias("greatest"), F.count("*").alias("pairs")).filter(f"greatest > {NEAR_BITS}")
+    g = items(spark, data).filter("group_id is not null and group_id <> -1").select(F.col("group_id").alias("key"), hash_bits("phash").alias("h")).dropna().distinct()
+    few, many = by_size(g, "key")
+    pairs = few.select("key", F.col("h").alias("a")).join(few.select("key", F.col("h").alias("b")), "key").filter("a < b")
+    d = distance("a", "b").cast("bigint")
+    found = pairs.groupBy("key").agg(F.min(d).alias("least"), F.max(d).alias("greatest"), F.count("*").alias("pairs"))
+    found = found.unionByName(in_blocks(many, "key", _wide, _SPREAD).select("key", "least", "greatest", "pairs"))
+    found = found.groupBy(F.col("key").alias("group_id")).agg(F.min("least").cast("int").alias("least"), F.max("greatest").cast("int").alias("greatest"), F.sum("pairs").alias("pairs"))
+    return found.filter(f"greatest > {NEAR_BITS}")
 
 
 def j9_group_distances(spark, data):
     """Within a stored burst, distances between its stored groups."""
-    g = items(spark, data).filter("group_id <> -1 and burst_id <> -1").select("burst_id", "group_id", hash_bits("phash").alias("h")).dropna().distinct()
-    a = g.select("burst_id", F.col("group_id").alias("g1"), F.col("h").alias("a"))
-    b = g.select("burst_id", F.col("group_id").alias("g2"), F.col("h").alias("b"))
-    d = distance("a", "b")
-    return a.join(b, "burst_id").filter("g1 < g2").groupBy("burst_id", "g1", "g2").agg(F.min(d).alias("least"), F.round(F.avg(d), 6).alias("mean"), F.count("*").alias("pairs"))
+    g = items(spark, data).filter("group_id <> -1 and burst_id <> -1").select(F.col("burst_id").alias("key"), F.col("group_id").alias("kind"), hash_bits("phash").alias("h")).dropna().distinct()
+    few, many = by_size(g, "key")
+    a = few.select("key", F.col("kind").alias("g1"), F.col("h").alias("a"))
+    b = few.select("key", F.col("kind").alias("g2"), F.col("h").alias("b"))
+    d = distance("a", "b").cast("bigint")
+    found = a.join(b, "key").filter("g1 < g2").groupBy("key", "g1", "g2").agg(F.min(d).alias("least"), F.sum(d).alias("total"), F.count("*").alias("pairs"))
+    # A block with itself has each pair of kinds both ways.
+    blocks = in_blocks(many, "key", _kinds_apart, _SPREAD).select("key", "g1", "g2", "least", "total", "pairs")
+    found = found.unionByName(blocks).groupBy(F.col("key").alias("burst_id"), "g1", "g2").agg(F.min("least").cast("int").alias("least"), F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+    return found.select("burst_id", "g1", "g2", "least", F.round(F.col("total") / F.col("pairs"), 6).alias("mean"), "pairs")
+
+
+def _kinds_apart(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    found = _spread_of(left, right)
+    found = found[found["g1"] != found["g2"]]
+    rows = lambda f: sorted(zip(f["kind"], f["h"]))
+    if len(left) == len(right) and rows(left) == rows(right):  # each pair of kinds came both ways
+        found = found.drop_duplicates(["g1", "g2"])
+    return found
 
 
 def g10_why_separate(spark, data):
@@ -173,16 +241,18 @@ def j15_shared_bursts(spark, data):
 
 
 def o1_by_uncertainty(spark, data):
+    """All items by uncertainty, with their place."""
     p = F.when(F.col("pick_score").isNotNull() & ~F.isnan("pick_score"), F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("pick_score"))))
-    u = F.coalesce(-(p * F.log2(p) + (1 - p) * F.log2(1 - p)), F.lit(1.0))
-    return items(spark, data).select("filename", F.round(u, 6).alias("uncertainty")).orderBy(F.desc("uncertainty"), F.desc("filename")).limit(100)
+    u = F.round(F.coalesce(-(p * F.log2(p) + (1 - p) * F.log2(1 - p)), F.lit(1.0)), 6)
+    return dense_index(items(spark, data).select("item_id", "filename", u.alias("uncertainty")), [F.desc("uncertainty"), F.desc_nulls_last("filename"), F.asc("item_id")], "at")
 
 
 def o2_by_group(spark, data):
+    """All shots in the order of their groups' first instants, then by score, with their place."""
     s = shots(spark, data).withColumn("g", F.when(F.col("group_id") != -1, F.col("group_id")))
-    first = s.filter("g is not null").groupBy("g").agg(F.min("us").alias("group_us"))
-    s = s.join(first, "g", "left").withColumn("group_us", F.coalesce("group_us", "us"))
-    return s.orderBy("group_us", F.desc("score"), "filename").limit(200).select("filename", "group_us", "score")
+    first = s.filter("g is not null").groupBy("g").agg(F.min("us").alias("group_us"), F.count("*").alias("n"))
+    s = skew_safe_lookup(s, "g", first, ["group_us"], "n").withColumn("group_us", F.coalesce("group_us", "us"))
+    return dense_index(s.select("item_id", "filename", "group_us", "score"), [F.asc("group_us"), F.desc("score"), F.asc("filename"), F.asc("item_id")], "at")
 
 
 def o5_top_groups(spark, data):
@@ -192,8 +262,6 @@ def o5_top_groups(spark, data):
 
 def o11_sample(spark, data):
     """Every k-th item by id, k such that about 200 are taken."""
-    from darkslide.operators.sequence import dense_index
-
     i = items(spark, data).select("item_id")
     k = max(1, i.count() // 200)
     return dense_index(i, [F.asc("item_id")], "at").filter(F.col("at") % k == 0).select("item_id")
@@ -201,8 +269,6 @@ def o11_sample(spark, data):
 
 def o13_range(spark, data):
     """Items between two places of the display order, both included."""
-    from darkslide.operators.sequence import dense_index
-
     i = items(spark, data).filter("filename is not null").select("filename", "item_id")
     return dense_index(i, [F.asc("filename"), F.asc("item_id")], "at").filter("at between 40 and 90").select("item_id", "at")
 
@@ -247,6 +313,11 @@ ed as (select x.first as u, y.first as v from pr join fs x on x.h = a join fs y
 rc as (select u as x, u as r from ed union select ed.v, rc.r from rc join ed on ed.u = rc.x),
 rt as (select x, min(r) as r from rc group by x),
 gr as (select item_id, coalesce(rt.r, fs.first, item_id) as group_root from hx left join fs using (h) left join rt on rt.x = fs.first)"""
+_MERGE = """,
+gb as (select distinct burst_id as b, group_root, h from {shots} join gr using (item_id) where burst_id <> -1 and h is not null),
+ce as (select distinct x.group_root as u, y.group_root as v from gb x join gb y using (b) where x.group_root <> y.group_root and bit_count(xor(x.h, y.h)) <= 30),
+cr as (select u as x, u as r from ce union select ce.v, cr.r from cr join ce on ce.u = cr.x),
+ct as (select x, min(r) as r from cr group by x)"""
 
 ORACLE = {
     "w1_session_ids": BASE + _RUNS.format(name="session_id", first=_CHANGED, gap=SESSION_US),
@@ -263,6 +334,14 @@ from (select a as h from pr union all select b from pr) group by h order by degr
     "g2_near_duplicates": BASE + _NEAR.format(bits=8, also="") + " select item_id, group_root from gr",
     "g2_near_duplicates_lossy": BASE + _NEAR.format(bits=8, also=_LOSSY) + " select item_id, group_root from gr",
     "g3_equal_hash_groups": BASE + " select item_id, coalesce(min(case when h is not null then item_id end) over (partition by h), item_id) as group_root from hx",
+    "g4_burst_merge": BASE + _NEAR.format(bits=8, also="") + _MERGE.format(shots="i join hx using (item_id)") + " select item_id, coalesce(ct.r, group_root) as group_root from gr left join ct on ct.x = gr.group_root",
+    "g7_grouping": BASE + _NEAR.replace("hx", "sh").format(bits=8, also="") + """,
+s1 as (select item_id, score, us, h, case when lag(camera_id) over w is distinct from camera_id or us - lag(us) over w > 600000000 then 1 else 0 end as so,
+  case when row_number() over w = 1 or us - lag(us) over w > 15000000 then 1 else 0 end as bo, row_number() over w as pos from sh window w as (order by camera_id, us, item_id)),
+s2 as (select item_id, score, us, h, (sum(so) over (order by pos) - 1)::bigint as session_id, (sum(bo) over (order by pos) - 1)::bigint as burst_id from s1)""" + _MERGE.format(shots="s2") + """,
+z as (select item_id, session_id, burst_id, score, us, coalesce(ct.r, group_root) as g from gr join s2 using (item_id) left join ct on ct.x = gr.group_root)
+select item_id, session_id, burst_id, g as group_id, count(*) over (partition by g) as group_size,
+  row_number() over (partition by g order by score desc, us, item_id) = 1 as is_group_best, score as pick_score from z""",
     "g6_prefix_groups": BASE + """ select item_id, prefix, min(item_id) over (partition by prefix) as group_root, count(*) over (partition by prefix) as n
 from (select item_id, regexp_replace(regexp_replace(filename, '\\.[^.]*$', ''), '[_-]?\\d+$', '') as prefix from i where filename is not null)""",
     "g9_wide_groups": BASE + """, d as (select distinct group_id, h from i join hx using (item_id) where group_id <> -1 and h is not null)
@@ -276,11 +355,11 @@ from (select *, lag(item_id) over w as pi, lag(group_id) over w as pg, lag(us) o
   from sh where group_id <> -1 and burst_id <> -1 window w as (partition by burst_id order by us, item_id)) where group_id <> pg""",
     "j15_shared_bursts": BASE + """, d as (select distinct burst_id, group_id from i where group_id <> -1 and burst_id <> -1)
 select a.group_id as g1, b.group_id as g2, count(*) as bursts from d a join d b on a.burst_id = b.burst_id and a.group_id < b.group_id group by 1, 2""",
-    "o1_by_uncertainty": BASE + """ select filename, round(coalesce(-(p * log2(p) + (1 - p) * log2(1 - p)), 1.0), 6) as uncertainty
-from (select filename, case when not isnan(pick_score) then greatest(1e-4, least(1 - 1e-4, pick_score)) end as p from i)
-order by uncertainty desc, filename desc limit 100""",
-    "o2_by_group": BASE + """ select filename, coalesce(min(us) over (partition by case when group_id <> -1 then group_id else -1000000000 - item_id end), us) as group_us, score
-from sh order by group_us, score desc, filename limit 200""",
+    "o1_by_uncertainty": BASE + """ select *, row_number() over (order by uncertainty desc, filename desc nulls last, item_id) - 1 as "at" from (
+select item_id, filename, round(coalesce(-(p * log2(p) + (1 - p) * log2(1 - p)), 1.0), 6) as uncertainty
+from (select item_id, filename, case when not isnan(pick_score) then greatest(1e-4, least(1 - 1e-4, pick_score)) end as p from i))""",
+    "o2_by_group": BASE + """ select *, row_number() over (order by group_us, score desc, filename, item_id) - 1 as "at" from (
+select item_id, filename, coalesce(min(us) over (partition by case when group_id <> -1 then group_id else -1000000000 - item_id end), us) as group_us, score from sh)""",
     "o5_top_groups": BASE + " select group_id, count(*) as n from i where group_id <> -1 group by 1 order by n desc, group_id limit 15",
     "o11_sample": BASE + " select item_id from (select item_id, row_number() over (order by item_id) - 1 as k, count(*) over () as n from i) where k % greatest(1, n // 200) = 0",
     "o13_range": BASE + """ select item_id, k::bigint as "at" from (select item_id, row_number() over (order by filename, item_id) - 1 as k from i where filename is not null) where k between 40 and 90""",

@@ -14,6 +14,7 @@ from darkslide.operators import labels as lab
 from darkslide.operators.evaluation import classify
 from darkslide.operators.graph import connected_components
 from darkslide.operators.hamming import hamming_pairs, hash_bits
+from darkslide.operators.skew import skew_safe_lookup
 from darkslide.plans.grouping import items
 from darkslide.sources.tables import table
 
@@ -147,13 +148,14 @@ def u5_labels_with_pending(spark, data):
 def g5_first_match_groups(spark, data):
     """Items in id order join the group of the first earlier hash within five bits: pointers to earlier hashes, then their roots."""
     i = items(spark, data).select("item_id", hash_bits("phash").alias("h")).filter("h is not null")
-    first = i.groupBy("h").agg(F.min("item_id").alias("at"))
+    first = i.groupBy("h").agg(F.min("item_id").alias("at"), F.count("*").alias("n"))
     p = hamming_pairs(first.select("h"), 5)
     both = p.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
     near = both.join(first.select(F.col("h").alias("a"), F.col("at").alias("u")), "a").join(first.select(F.col("h").alias("b"), F.col("at").alias("v")), "b")
     parent = near.filter("v < u").groupBy("u").agg(F.min("v").alias("v"))
     roots = connected_components(parent).select(F.col("item").alias("at"), "root")
-    return i.join(first, "h").join(roots, "at", "left").select("item_id", F.coalesce("root", "at").alias("group_root"))
+    rooted = first.join(roots, "at", "left").select("h", "n", F.coalesce("root", "at").alias("group_root"))
+    return skew_safe_lookup(i, "h", rooted, ["group_root"], "n").select("item_id", "group_root")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -170,7 +172,22 @@ s as (select *, case when isnan(pick_score) then null else pick_score end as sc
 pr as (select filename as path, sc as p, case when sc >= 0.7 then 'keep' when sc <= 0.3 then 'trash' else '' end as predicted from s),
 lb as (select filename as path, lower(trim(coalesce(label, ''))) as state, coalesce(label_source, 'manual') as source from i)"""
 
+_H = """with recursive i as (select distinct on (item_id) * from image_items where item_id is not null),
+hx as (select item_id, case when regexp_full_match(phash, '[0-9A-Fa-f]{16}') then ('0x' || phash)::ubigint end as h from i)"""
 ORACLE = {
+    "g5_first_match_groups": _H + """, fs as (select h, min(item_id) as first from hx where h is not null group by h),
+pa as (select a.first as u, min(b.first) as v from fs a join fs b on b.first < a.first and bit_count(xor(a.h, b.h)) <= 5 group by 1),
+rt as (select first as x, first as r from fs where first not in (select u from pa) union all select pa.u, rt.r from rt join pa on pa.v = rt.x)
+select item_id, rt.r as group_root from hx join fs using (h) join rt on rt.x = fs.first""",
+    "r10_replay": """with recursive l as (select user_id as path, row_number() over (partition by user_id order by event_id) as k,
+  case event_type when 'error' then 'undo' when 'click' then 'redo' else 'set' end as act, value::varchar as value from events where user_id is not null),
+st as (select path, 0::bigint as k, null::varchar as now, []::struct(a varchar, b varchar)[] as done, []::struct(a varchar, b varchar)[] as undone from l where k = 1
+  union all select st.path, l.k,
+    case act when 'set' then value when 'undo' then case when len(done) > 0 then done[-1].a else now end else case when len(undone) > 0 then undone[-1].b else now end end,
+    case act when 'set' then list_append(done, struct_pack(a := now, b := value))[-200:] when 'undo' then done[:-2] else case when len(undone) > 0 then list_append(done, undone[-1]) else done end end,
+    case act when 'set' then [] when 'undo' then case when len(done) > 0 then list_append(undone, done[-1]) else undone end else undone[:-2] end
+  from st join l on l.path = st.path and l.k = st.k + 1)
+select path, now as value, len(done)::int as undoable, len(undone)::int as redoable from (select *, max(k) over (partition by path) as last from st) where k = last""",
     "f12_confident": D + " select image, det, part, class from d where conf >= 0.6 and class in ('AF', 'NO') and area >= 0.2",
     "f13_top_of_image": D + " select image, det, part, rank::int as rank from (select *, row_number() over (partition by image order by conf desc, area desc, det, part) as rank from d where conf >= 0.6 and area >= 0.01) where rank <= 3",
     "o8_overlay": D + """ select image, det, part from (select *, count_if(conf > 0.4) over (partition by image) as n, row_number() over (partition by image order by conf > 0.4 desc, conf desc, det, part) as k from d)

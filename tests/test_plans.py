@@ -6,7 +6,8 @@ from conftest import rows
 from pyspark.ml.linalg import Vectors
 
 from darkslide.operators import evaluation as ev
-from darkslide.plans import catalogue, learning
+from darkslide.operators import blocks
+from darkslide.plans import catalogue, grouping, learning
 
 
 def test_with_and_without_tries_every_frequent_class(spark, monkeypatch):
@@ -57,3 +58,19 @@ def test_elimination_goes_down_to_five(spark, monkeypatch):
     monkeypatch.setattr(learning, "dataset", lambda *_: spark.createDataFrame(made, ["id", "y", "features"]))
     monkeypatch.setattr(learning, "NAMES", [f"n{i}" for i in range(8)])
     assert [x.features for x in learning.m27_elimination(spark, "").collect()] == [8, 7, 6, 5]
+
+
+def test_blocks_compare_as_joins_do(spark, monkeypatch):
+    """Bursts and groups cut into blocks of a few rows give what the join of each with itself gives."""
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(6)]
+    made = [(i, f"{r.choice(base) ^ (1 << r.randrange(64)):016x}" if r.random() < .9 else None, r.choice([None, -1, 1, 1, 2, 3]), r.choice([None, -1, 1, 2, 2])) for i in range(200)]
+    df = spark.createDataFrame(made, "item_id bigint, phash string, group_id bigint, burst_id bigint")
+    monkeypatch.setattr(grouping, "items", lambda *_: df)
+    names = (grouping.g4_burst_merge, grouping.g9_wide_groups, grouping.j9_group_distances)
+    want = [rows(f(spark, "")) for f in names]
+    assert all(want)
+    monkeypatch.setattr(blocks, "FEW", 1)
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    for f, w in zip(names, want):
+        assert rows(f(spark, "")) == w, f.__name__
