@@ -148,3 +148,32 @@ def nan_mean(columns: list[Column]) -> Column:
     ok = [F.when(~F.isnan(c), c) for c in columns]
     n = sum((c.isNotNull().cast("int") for c in ok), F.lit(0))
     return F.when(n > 0, sum((F.coalesce(c, F.lit(0.0)) for c in ok), F.lit(0.0)) / n)
+
+
+def gain_summary(gains: DataFrame, key: str, gain: str) -> DataFrame:
+    """Per key: numbers of positive, negative and zero gains, and the means of the positive and of the negative ones."""
+    g = F.col(gain)
+    return gains.groupBy(key).agg(
+        F.count("*").alias("n"), F.count_if(g > 0).alias("gains"), F.count_if(g < 0).alias("losses"), F.count_if(g == 0).alias("same"),
+        F.avg(F.when(g > 0, g)).alias("mean_gain"), F.avg(F.when(g < 0, g)).alias("mean_loss"),
+    )
+
+
+def suggestions(fp: Column, fn: Column, accuracy: Column, training_accuracy: Column | None = None) -> Column:
+    """Codes of what mistakes suggest: a threshold when one kind is more than twice the other, overfitting, and what to do at low or high accuracy."""
+    over = F.lit(None).cast("string") if training_accuracy is None else F.when((training_accuracy > 0) & (accuracy < training_accuracy - 0.1), "overfitting")
+    lean = F.when(fp > 2 * fn, "raise_threshold").when(fn > 2 * fp, "lower_threshold")
+    low = accuracy < 0.85
+    return F.array_compact(F.array(lean, over, F.when(low, "more_data").otherwise("edge_cases"), F.when(low, "augment").otherwise("generalise")))
+
+
+def valid_thresholds(keep: float, trash: float) -> tuple[float, float]:
+    """Both rounded to four digits; ValueError unless 0 <= trash < keep <= 1, with keep above 0 and trash below 1."""
+    if not (0 < keep <= 1 and 0 <= trash < 1 and keep > trash):
+        raise ValueError(f"thresholds need 0 <= trash < keep <= 1: keep {keep}, trash {trash}")
+    return round(keep, 4), round(trash, 4)
+
+
+def thresholds_hold(keep: Column, trash: Column) -> Column:
+    """The same rule on columns; null thresholds do not hold."""
+    return F.coalesce((keep > 0) & (keep <= 1) & (trash >= 0) & (trash < 1) & (keep > trash), F.lit(False))

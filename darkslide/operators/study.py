@@ -48,6 +48,16 @@ def interactions(columns: list[str], ratios: int = 10, products: int = 100) -> l
     return made
 
 
+def interaction_pairs(ranked: list[str], products: int = 100, ratios: int = 10, quotients: int = 20) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Pairs of ``ranked`` features to multiply, and of the first ``ratios`` of them to divide, up to a number of each."""
+    return list(combinations(ranked, 2))[:products], list(combinations(ranked[:ratios], 2))[:quotients]
+
+
+def feature_names(plain: list[str], products: list[tuple[str, str]] = (), quotients: list[tuple[str, str]] = (), embedding: int = 0) -> list[str]:
+    """Names by index: plain features, products, quotients, components of an embedding."""
+    return [*plain, *[f"{a}_x_{b}" for a, b in products], *[f"{a}_over_{b}" for a, b in quotients], *[f"embedding_{i}" for i in range(embedding)]]
+
+
 def vote_stats(votes: Column) -> tuple[Column, Column]:
     """Number of votes for 1, 2, ... and their mean."""
     n = F.aggregate(votes, F.lit(0).cast("bigint"), lambda a, x: a + x)

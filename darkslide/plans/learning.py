@@ -10,10 +10,10 @@ from darkslide.operators import evaluation as ev
 from darkslide.operators import learning as L
 from darkslide.operators.shared import Written
 from darkslide.plans.grouping import items
-from darkslide.plans.studies import STATS
+from darkslide.plans.studies import BINS, STATS, bins
 from darkslide.sources.tables import table
 
-NAMES = [*STATS, *[f"h{i}" for i in range(48)], "rating"]
+NAMES = [*STATS, *BINS, "rating"]
 
 
 def _labelled(spark, data) -> DataFrame:
@@ -21,15 +21,27 @@ def _labelled(spark, data) -> DataFrame:
     return items(spark, data).select(F.col("item_id").alias("id"), y.alias("y"), "album").filter("y is not null")
 
 
+def _vectors(spark, data) -> DataFrame:
+    """(id, raw): the features of every item; values that are no numbers, and those of items without a vector, are 0."""
+    number = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
+    v = table(spark, data, "preprocess_results").dropDuplicates(["item_id"]).filter("size(hist_feat) in (24, 48)").select(F.col("item_id").alias("id"), *STATS, *bins(), F.lit(True).alias("known"))
+    i = items(spark, data).select(F.col("item_id").alias("id"), "rating").filter("id is not null")
+    rows = i.join(v, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"), *[number(c) for c in NAMES])
+    return VectorAssembler(inputCols=NAMES, outputCol="raw").transform(rows).select("id", "known", "raw")
+
+
+def _scaled(spark, data) -> tuple[DataFrame, DataFrame]:
+    """The labelled rows with a vector (id, y, features), and all items (id, features), scaled alike."""
+    everything = Written(_vectors(spark, data), "vectors").df
+    x = everything.filter("known").join(_labelled(spark, data), "id")
+    x = Written(x.select("id", "y", "raw"), "dataset").df
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x)
+    return scaler.transform(x).select("id", "y", "features"), scaler.transform(everything).select("id", "features")
+
+
 def dataset(spark, data) -> DataFrame:
-    """(id, y, features): labelled items with a whole vector, scaled; values that are no numbers are 0."""
-    v = table(spark, data, "preprocess_results").dropDuplicates(["item_id"]).filter("size(hist_feat) = 48").withColumnRenamed("item_id", "id")
-    number = lambda c: F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)).cast("double")
-    hist = [number(F.col("hist_feat")[i]).alias(f"h{i}") for i in range(48)]
-    rating = items(spark, data).select(F.col("item_id").alias("id"), F.coalesce("rating", F.lit(0)).cast("double").alias("rating"))
-    rows = _labelled(spark, data).join(v, "id").join(rating, "id").select("id", "y", *[number(F.col(c)).alias(c) for c in STATS], *hist, "rating")
-    x = Written(VectorAssembler(inputCols=NAMES, outputCol="raw").transform(rows).select("id", "y", "raw"), "dataset").df
-    return StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x).select("id", "y", "features")
+    """(id, y, features): labelled items with a vector of either length, scaled; values that are no numbers are 0."""
+    return _scaled(spark, data)[0]
 
 
 def _split(spark, data):
@@ -115,9 +127,10 @@ def m11_m30_calibrated(spark, data):
 
 
 def m12_predictions(spark, data):
-    """Every item with its probability by a model of the labelled ones."""
-    d = dataset(spark, data)
-    return L.scores(L.MODELS["logistic"]().fit(d), d).select("id", F.round("p", 6).alias("p"))
+    """Every item, labelled or not, with its probability by a model of the labelled ones."""
+    known, everything = _scaled(spark, data)
+    model = L.MODELS["logistic"]().fit(known)
+    return L.scores(model, everything.withColumn("y", F.lit(None).cast("int"))).select("id", F.round("p", 6).alias("p"))
 
 
 def m16_random_search(spark, data):
@@ -171,7 +184,7 @@ def m23_permuted_importance(spark, data):
 def m25_ablation(spark, data):
     """What leaving out a group of features does to the area under the curve."""
     train, test = _split(spark, data)
-    groups = {"none": set(), "colour": set(range(0, 6)), "brightness": {6, 7}, "histogram": set(range(9, 57)), "rating": {57}}
+    groups = {"none": set(), "colour": set(range(0, 6)), "brightness": {6, 7}, "histogram": set(range(9, 33)), "rating": {33}}
     out = []
     for name, drop in groups.items():
         model = L.MODELS["logistic"]().fit(L.without(train, drop, len(NAMES)))

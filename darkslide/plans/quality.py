@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from darkslide.operators import evaluation as e
-from darkslide.operators.sequence import running_sums
+from darkslide.operators.sequence import dense_index, running_sums
 from darkslide.plans.grouping import items
 from darkslide.sources.tables import table
 
@@ -96,21 +96,32 @@ def x11_dynamic_thresholds(spark, data):
 
 
 def o9_errors(spark, data):
-    """The worst mistakes: trash with high scores, keepers with low ones."""
+    """All mistakes: trash with high scores, highest first, and keepers with low ones, lowest first, with their place."""
     r = _rows(spark, data).filter("p is not null and not isnan(p)")
-    fp = r.filter("y = 0 and p >= 0.5").select("item_id", "p", F.lit("fp").alias("kind")).orderBy(F.desc("p"), "item_id").limit(20)
-    fn = r.filter("y = 1 and p < 0.5").select("item_id", "p", F.lit("fn").alias("kind")).orderBy("p", "item_id").limit(20)
-    return fp.unionByName(fn)
+    kind = F.when((F.col("y") == 0) & (F.col("p") >= 0.5), "fp").when((F.col("y") == 1) & (F.col("p") < 0.5), "fn")
+    wrong = r.select("item_id", "p", kind.alias("kind")).filter("kind is not null")
+    worst = F.when(F.col("kind") == "fp", -F.col("p")).otherwise(F.col("p"))
+    return dense_index(wrong, [F.asc("kind"), worst.asc(), F.asc("item_id")], "at")
 
 
-def j12_x29_compare(spark, data):
-    """Metrics of each run against the first run: value, baseline and percent of improvement."""
+def _improvements(spark, data):
     m = table(spark, data, "benchmark_results").select("run_id", F.explode("metrics").alias("metric", "value"))
-    base = m.filter("run_id = 1").select("metric", F.col("value").alias("baseline"))
-    j = m.join(F.broadcast(base), "metric")
+    base = m.groupBy("metric").agg(F.min_by("value", "run_id").alias("baseline"), F.min("run_id").alias("first"))
+    j = m.join(base, "metric")
     worse = F.col("metric").isin("brier", "keep_loss")
     better = F.when(worse, e.improvement(F.col("baseline"), F.col("value"), True)).otherwise(e.improvement(F.col("baseline"), F.col("value")))
-    return j.select("run_id", "metric", F.round("value", 6).alias("value"), F.round("baseline", 6).alias("baseline"), F.round(better, 4).alias("improvement_pct"))
+    return j.select("run_id", "metric", "value", "baseline", better.alias("better"), "first")
+
+
+def j12_x29_compare(spark, data):
+    """Metrics of each run against the first run that has them: value, baseline and percent of improvement."""
+    return _improvements(spark, data).select("run_id", "metric", F.round("value", 6).alias("value"), F.round("baseline", 6).alias("baseline"), F.round("better", 4).alias("improvement_pct"))
+
+
+def a30_gains(spark, data):
+    """By metric: how many later runs gain, lose or stay as the first is, and by how much on average."""
+    later = _improvements(spark, data).filter("run_id > first").select("metric", F.round("better", 4).alias("gain"))
+    return _rounded(e.gain_summary(later, "metric", "gain"))
 
 
 def a18_runs_by_kind(spark, data):
@@ -120,10 +131,10 @@ def a18_runs_by_kind(spark, data):
 
 
 def a37_best_runs(spark, data):
-    """Runs within 0.1 of the best accuracy, with mean and deviation of all."""
+    """Runs within a percentage point of the best accuracy, with mean and deviation of all."""
     r = table(spark, data, "benchmark_results").select("run_id", F.try_element_at("metrics", F.lit("accuracy")).alias("accuracy")).filter("accuracy is not null")
     s = r.agg(F.max("accuracy").alias("best"), F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("deviation"))
-    return _rounded(r.crossJoin(F.broadcast(s)).filter("accuracy >= best - 0.1"))
+    return _rounded(r.crossJoin(F.broadcast(s)).filter("accuracy >= best - 0.01"))
 
 
 def w10_best_so_far(spark, data):
@@ -147,16 +158,15 @@ def a33_bytes(spark, data):
 
 
 def x30_suggestions(spark, data):
-    """What to change, by run: rules on its metrics."""
-    m = lambda k: F.try_element_at("metrics", F.lit(k))
-    tips = F.array_compact(F.array(F.when(m("accuracy") < 0.7, "train_more"), F.when(m("keep_loss") > 0.01, "lower_threshold"), F.when(m("brier") > 0.2, "calibrate")))
-    return table(spark, data, "benchmark_results").select("run_id", F.concat_ws(",", tips).alias("suggestions"))
+    """What the mistakes of the scores suggest, as codes."""
+    c = e.asymmetric(e.confusion(_rows(spark, data), 0.5))
+    return c.select("fp", "fn", F.round("accuracy", 6).alias("accuracy"), F.concat_ws(",", e.suggestions(F.col("fp"), F.col("fn"), F.col("accuracy"))).alias("suggestions"))
 
 
 QUERIES = {f.__name__: f for f in (
     a5_class_balance, a7_confusion, a8_asymmetric, a9_pr_auc, a10_roc_auc, a11_a16_losses, a12_ece, a13_calibration, a14_by_class, a15_folds, a29_ensemble_mean,
     a36_correlations, w6_threshold, x10_classify, x11_dynamic_thresholds, o9_errors, j12_x29_compare, a18_runs_by_kind, a37_best_runs, w10_best_so_far,
-    w9_share_of_total, a17_timings, a33_bytes, x30_suggestions,
+    a30_gains, w9_share_of_total, a17_timings, a33_bytes, x30_suggestions,
 )}
 
 I = "with i as (select distinct on (item_id) * from image_items), "  # noqa: E741
@@ -167,6 +177,10 @@ _BINS = """, b as (select range::int as bin from range(1, 11)), g as (select cei
 t as (select bin, coalesce(n, 0) as n, coalesce(mean, (bin - 0.5) / 10) as mean, coalesce(share, 0.0) as share from b left join g using (bin))"""
 _BAL = ", n as (select count_if(y = 1)::bigint as keep, count_if(y = 0)::bigint as trash from l where y is not null)"
 
+_GAIN = """with m as (select run_id, unnest(map_keys(metrics)) as metric, unnest(map_values(metrics)) as value from benchmark_results),
+b as (select metric, arg_min(value, run_id) as baseline, min(run_id) as first from m group by 1),
+z as (select m.*, baseline, first, case when baseline > 0 then (case when metric in ('brier', 'keep_loss') then baseline - value else value - baseline end) / baseline * 100 else 0 end as better from m join b using (metric))"""
+
 ORACLE = {
     "a5_class_balance": R + _BAL + """ select keep, trash, round(greatest(keep, trash) / least(keep, trash), 6) as ratio, round(keep * 100.0 / (keep + trash), 6) as keep_pct,
 case when least(keep, trash) = 0 then 'insufficient' when greatest(keep, trash) / least(keep, trash) < 1.5 then 'balanced' when greatest(keep, trash) / least(keep, trash) < 3 then 'moderate' else 'severe' end as severity,
@@ -197,18 +211,19 @@ select p as threshold from k where rk = floor(0.02 * n)""",
     "x10_classify": I + "z as (select item_id, case when isnan(pick_score) then null else pick_score end as p from i) select item_id, case when p is null then '' when p >= 0.7 then 'keep' when p <= 0.3 then 'trash' else '' end as predicted from z",
     "x11_dynamic_thresholds": R + _BAL + """ select keep, trash, round(0.7 + case when keep / trash > 1.2 then least(0.08, (keep / trash - 1) * 0.04) else 0 end, 6)::double as keep_at,
 round(0.3 - case when trash / keep > 1.2 then least(0.05, (trash / keep - 1) * 0.03) else 0 end, 6)::double as trash_at from n""",
-    "o9_errors": R + """ (select item_id, p, 'fp' as kind from r where y = 0 and p >= .5 order by p desc, item_id limit 20) union all (select item_id, p, 'fn' from r where y = 1 and p < .5 order by p, item_id limit 20)""",
-    "j12_x29_compare": """with m as (select run_id, unnest(map_keys(metrics)) as metric, unnest(map_values(metrics)) as value from benchmark_results)
-select m.run_id, m.metric, round(m.value, 6) as value, round(b.value, 6) as baseline,
-round(case when b.value > 0 then (case when m.metric in ('brier', 'keep_loss') then b.value - m.value else m.value - b.value end) / b.value * 100 else 0 end, 4) as improvement_pct
-from m join m b on b.run_id = 1 and b.metric = m.metric""",
+    "o9_errors": R + """ select *, row_number() over (order by kind, case kind when 'fp' then -p else p end, item_id) - 1 as "at"
+from (select item_id, p, case when y = 0 and p >= .5 then 'fp' when y = 1 and p < .5 then 'fn' end as kind from r) where kind is not null""",
+    "j12_x29_compare": _GAIN + " select run_id, metric, round(value, 6) as value, round(baseline, 6) as baseline, round(better, 4) as improvement_pct from z",
+    "a30_gains": _GAIN + """, g as (select metric, round(better, 4) as gain from z where run_id > first)
+select metric, count(*) as n, count_if(gain > 0)::bigint as gains, count_if(gain < 0)::bigint as losses, count_if(gain = 0)::bigint as same,
+round(avg(case when gain > 0 then gain end), 6) as mean_gain, round(avg(case when gain < 0 then gain end), 6) as mean_loss from g group by metric""",
     "a18_runs_by_kind": "select model_name, feature_mode, count(*) as n, round(avg(train_size), 6) as mean, quantile_cont(train_size, 0.5)::double as median from benchmark_results group by 1, 2",
     "a37_best_runs": """with r as (select run_id, metrics['accuracy'] as accuracy from benchmark_results where metrics['accuracy'] is not null), s as (select max(accuracy) as best, avg(accuracy) as mean, stddev_pop(accuracy) as deviation from r)
-select run_id, round(accuracy, 6) as accuracy, round(best, 6) as best, round(mean, 6) as mean, round(deviation, 6) as deviation from r, s where accuracy >= best - 0.1""",
+select run_id, round(accuracy, 6) as accuracy, round(best, 6) as best, round(mean, 6) as mean, round(deviation, 6) as deviation from r, s where accuracy >= best - 0.01""",
     "w10_best_so_far": "select run_id, round(max(metrics['accuracy']) over (order by run_id rows unbounded preceding), 6) as best from benchmark_results",
     "w9_share_of_total": I + "n as (select album, count(*) as n from i group by 1) select album, round(n * 100 / sum(n) over (), 6) as pct from n",
     "a17_timings": "select event_type, count(*) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, min(value) as least, max(value) as greatest from events group by 1",
     "a33_bytes": "select regexp_extract(file_path, '^(.*)[/\\\\]', 1) as folder, sum(file_size)::bigint as bytes from photo_metadata where file_size is not null group by 1",
-    "x30_suggestions": """select run_id, concat_ws(',', case when metrics['accuracy'] < 0.7 then 'train_more' end, case when metrics['keep_loss'] > 0.01 then 'lower_threshold' end,
-case when metrics['brier'] > 0.2 then 'calibrate' end) as suggestions from benchmark_results""",
+    "x30_suggestions": R + """ select fp, fn, round(a, 6) as accuracy, concat_ws(',', case when fp > 2 * fn then 'raise_threshold' when fn > 2 * fp then 'lower_threshold' end,
+ case when a < 0.85 then 'more_data,augment' else 'edge_cases,generalise' end) as suggestions from (select *, (tp + tn) / (tn + fp + fn + tp) as a from c)""",
 }
