@@ -12,6 +12,13 @@ DEFAULTS = {
 }
 
 
+# The columns that the numbers become.
+NUMBERS = {
+    "ISOSpeedRatings": "iso", "FNumber": "aperture", "ExposureTime": "shutter_speed", "Flash": "flash", "FocalLength": "focal_length",
+    "DigitalZoomRatio": "digital_zoom", "ExposureBiasValue": "exposure_bias", "WhiteBalance": "white_balance", "ExposureMode": "exposure_mode", "MeteringMode": "metering_mode",
+}
+
+
 def value(tag: str, exif: str = "exif") -> Column:
     return F.try_element_at(exif, F.lit(tag))
 
@@ -24,6 +31,11 @@ def number(tag: str, exif: str = "exif") -> Column:
     return F.coalesce(fraction, v.try_cast("double"), F.lit(DEFAULTS[tag]))
 
 
+def flash_fired(exif: str = "exif") -> Column:
+    """Bit 0 of the flash value: 1 if it fired."""
+    return number("Flash", exif).cast("bigint").bitwiseAND(F.lit(1)).cast("int")
+
+
 def camera_id() -> Column:
     """Make, model and serial number; ``unknown`` without make or model."""
     make, model, serial = (F.nullif(F.trim(value(t)), F.lit("")) for t in ("Make", "Model", "BodySerialNumber"))

@@ -28,6 +28,24 @@ def normalised(json: Column) -> Column:
     return F.when(j.isNotNull(), F.struct(cls.alias("class"), F.coalesce(conf.try_cast("double"), F.lit(0.0)).alias("conf")))
 
 
+def sanitised(json: Column) -> Column:
+    """(class, conf) of a JSON detection in one of the strict shapes, else an error: [name, score], or an object with class and confidence or name and score."""
+    j = F.trim(json)
+    get = lambda k: F.get_json_object(j, f"$.{k}")
+    two = j.startswith("[") & (F.json_array_length(j) == 2)
+    old = get("class").isNull() | get("confidence").isNull()
+    name = F.when(two, F.get_json_object(j, "$[0]")).when(~old, get("class")).otherwise(get("name"))
+    score = F.when(two, F.get_json_object(j, "$[1]")).when(~old, get("confidence")).otherwise(get("score")).try_cast("double")
+    bad = F.raise_error(F.concat(F.lit("unexpected shape of a detection: "), F.coalesce(json, F.lit("null"))))
+    return F.when((two | j.startswith("{")) & name.isNotNull() & score.isNotNull(), F.struct(name.alias("class"), score.alias("conf"))).otherwise(bad)
+
+
+def shown_area(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """Share of the picture for display: of a box (x1, y1, x2, y2) in pixels if the picture's size is known, else of a box (x, y, w, h) in shares of it."""
+    known = width.isNotNull() & height.isNotNull() & (width != 0) & (height != 0)
+    return F.when(known & (width * height > 0), (w - x) * (h - y) / (width * height)).when(known, 0.0).otherwise(F.coalesce(w * h, F.lit(0.0)))
+
+
 def area_ratio(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
     """Share of the picture that a box covers, after it is cut to the picture; 0 for an empty picture."""
     inside = lambda v, top: F.greatest(F.lit(0.0), F.least(v, top))

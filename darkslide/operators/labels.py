@@ -80,3 +80,32 @@ def applied(labels: DataFrame, predictions: DataFrame, keep_auto: float = 0.8, t
     free = labels.filter("state = ''").select("path")
     sure = ((F.col("predicted") == "keep") & (F.col("p") >= keep_auto)) | ((F.col("predicted") == "trash") & (F.col("p") <= trash_auto))
     return free.join(predictions.filter(sure), "path").select("path", F.col("predicted").alias("state"), F.lit("auto").alias("source"))
+
+
+def dirty(labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(path, old, new, changed) of the paths that a new prediction may change: those without a state or with an automatic one.
+
+    ``labels`` (path, state, source), ``predictions`` (path, p, predicted). A path without
+    a score keeps its state.
+    """
+    open_ = labels.filter("state = '' or source = 'auto'")
+    j = open_.join(predictions, "path", "left")
+    new = F.when(F.col("p").isNull(), F.col("state")).otherwise(F.col("predicted"))
+    return j.select("path", F.col("state").alias("old"), new.alias("new"), (new != F.col("state")).alias("changed"))
+
+
+def flagged(predictions: DataFrame, least: float = 0.9) -> DataFrame:
+    """Review queue (path, predicted, p): predictions that are sure enough to be shown."""
+    return predictions.filter(F.col("p") >= least).select("path", "predicted", "p")
+
+
+def review(queue: DataFrame, answers: DataFrame) -> DataFrame:
+    """The queue with the last answer of each entry: reviewed, user_label, the label it gives, and whether clearing takes it out.
+
+    ``answers`` (path, user_label, seq); an empty label rejects. Answers to what is not in
+    the queue count for nothing. Only keep and trash are applied.
+    """
+    last = answers.groupBy("path").agg(F.max_by("user_label", "seq").alias("user_label"))
+    j = queue.join(last.withColumn("reviewed", F.lit(True)), "path", "left")
+    done = F.coalesce("reviewed", F.lit(False))
+    return j.select("path", "predicted", "p", done.alias("reviewed"), "user_label", F.when(F.col("user_label").isin("keep", "trash"), F.col("user_label")).alias("applied"), done.alias("cleared"))

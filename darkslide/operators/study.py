@@ -16,6 +16,19 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*out)).alias("p")).select("p.*")
 
 
+def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """As ``correlations``, for many columns: one pass that adds up a matrix. Rows in which a column is null or NaN are left out."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    whole = rows.dropna(subset=columns)
+    for c in columns:
+        whole = whole.filter(~F.isnan(c))
+    r = Correlation.corr(VectorAssembler(inputCols=columns, outputCol="x").transform(whole).select("x"), "x").first()[0].toArray()
+    out = [(columns[i], columns[j], float(r[i, j])) for i, j in combinations(range(len(columns)), 2)]
+    return rows.sparkSession.createDataFrame(out, "a string, b string, r double")
+
+
 def target_correlations(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
     one = rows.agg(*[F.corr(c, target).alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in columns])).alias("p")).select("p.*")

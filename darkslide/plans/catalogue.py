@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from darkslide.functions import exif
 from darkslide.operators import filters as p
-from darkslide.plans.grouping import items, photos
+from darkslide.operators.evaluation import thresholds_hold
+from darkslide.plans.grouping import BASE, items, photos
+from darkslide.plans.studies import BIN_SQL, bins
 from darkslide.sources.tables import table
 
 
@@ -59,9 +61,9 @@ def f14_scored(spark, data):
 
 
 def f15_feature_subset(spark, data):
-    v = table(spark, data, "preprocess_results").dropDuplicates(["item_id"]).filter("size(hist_feat) = 48")
-    chosen = F.array(*[F.lit(i) for i in (0, 5, 17, 31, 47)])
-    return v.select("item_id", F.transform(chosen, lambda i: F.element_at("hist_feat", i + 1).cast("double")).alias("subset")).select("item_id", *[F.round(F.col("subset")[j], 6).alias(f"f{j}") for j in range(5)])
+    """Some bins of every vector, of either length."""
+    v = table(spark, data, "preprocess_results").dropDuplicates(["item_id"]).filter("size(hist_feat) in (24, 48)").select("item_id", *bins())
+    return v.select("item_id", *[F.round(f"h{i}", 6).alias(f"h{i}") for i in (0, 5, 11, 17, 23)])
 
 
 def f16_class_presence(spark, data):
@@ -117,17 +119,20 @@ def s12_group_cache(spark, data):
 
 
 def s21_aligned_vectors(spark, data):
-    """Every item with its vector, zeros where it has none."""
-    v = table(spark, data, "preprocess_results").dropDuplicates(["item_id"]).filter("size(hist_feat) = 48").select("item_id", F.col("hist_feat").cast("array<double>").alias("h"))
-    zeros = F.array_repeat(F.lit(0.0), 48)
-    j = items(spark, data).select("item_id").join(v, "item_id", "left").select("item_id", F.coalesce("h", zeros).alias("h"))
-    clean = F.filter("h", lambda x: x.isNotNull() & ~F.isnan(x))
-    return j.select("item_id", F.round(F.aggregate(clean, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("h").alias("width"))
+    """Every item with its vector of 24 bins, zeros where it has none."""
+    v = table(spark, data, "preprocess_results").dropDuplicates(["item_id"]).filter("size(hist_feat) in (24, 48)").select("item_id", F.array(*bins()).alias("h"))
+    j = items(spark, data).select("item_id").join(v, "item_id", "left").select("item_id", F.coalesce("h", F.array_repeat(F.lit(0.0), 24)).alias("h"))
+    return j.select("item_id", F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("h").alias("width"))
 
 
 def j1_photo_rows(spark, data):
-    ph = photos(spark, data)
-    return items(spark, data).select("item_id", "filename", exif.value("Model").alias("model"), F.coalesce("rating", F.lit(0)).alias("rating")).join(ph, "filename", "left")
+    """Each item with its photo's time and camera, its tags out of the file, its stored rating and labels, its objects and its probability."""
+    p = F.coalesce(F.when(~F.isnan("pick_score"), F.col("pick_score")), F.lit(0.5))
+    known = F.coalesce(F.array_sort(F.array_distinct(F.filter("objects", lambda o: o.isNotNull()))), F.array().cast("array<string>"))
+    state = F.lower(F.trim(F.coalesce("label", F.lit(""))))
+    i = items(spark, data).select("item_id", "filename", exif.value("Model").alias("model"), exif.number("ISOSpeedRatings").alias("iso"), F.coalesce("rating", F.lit(0)).alias("rating"),
+                                  F.size(F.coalesce("tags", F.array())).alias("n_tags"), state.alias("state"), known.alias("objects"), p.alias("p"))
+    return i.join(photos(spark, data), "filename", "left")
 
 
 def j3_probabilities(spark, data):
@@ -172,8 +177,18 @@ def x1_camera(spark, data):
 
 
 def x2_exif_numbers(spark, data):
-    iso = exif.number("ISOSpeedRatings")
-    return items(spark, data).select("item_id", iso.alias("iso"), F.round(exif.number("FNumber"), 6).alias("f_number"), F.round(F.log1p(iso), 6).alias("log_iso"))
+    """The ten numbers out of the tags, each with its default: as they are, bit 0 of the flash, and logarithms of speed, time and size."""
+    size = table(spark, data, "photo_metadata").groupBy("filename").agg(F.max("file_size").alias("file_size"))
+    i = items(spark, data).join(size, "filename", "left")
+    names = [(t, n) for t, n in exif.NUMBERS.items() if t != "Flash"]
+    logs = [("log_iso", exif.number("ISOSpeedRatings")), ("log_shutter", exif.number("ExposureTime")), ("log_size", F.coalesce("file_size", F.lit(0)))]
+    return i.select("item_id", *[F.round(exif.number(t), 6).alias(n) for t, n in names], exif.flash_fired().alias("flash_fired"), *[F.round(F.log1p(c), 6).alias(n) for n, c in logs])
+
+
+def x12_thresholds(spark, data):
+    """Pairs of thresholds, as runs might propose them, and whether they hold."""
+    m = table(spark, data, "benchmark_results").select("run_id", F.round(F.try_element_at("metrics", F.lit("accuracy")), 4).alias("keep"), F.round(F.try_element_at("metrics", F.lit("brier")) * 3, 4).alias("trash"))
+    return m.withColumn("holds", thresholds_hold(F.col("keep"), F.col("trash")))
 
 
 def x5_time_parts(spark, data):
@@ -195,7 +210,7 @@ def x25_class_names(spark, data):
 QUERIES = {f.__name__: f for f in (
     f1_rating, f2_tag, f3_date, f4_hide_manual, f5_all_criteria, f7_filename, f8_exif_field, f9_unlabelled, f10_manual, f11_training_rows, f14_scored,
     f15_feature_subset, f16_class_presence, f17_exif_dates, f18_problems, s5_capture_time, s7_valid_cache, s8_cache_split, s10_cache_key, s12_group_cache,
-    s21_aligned_vectors, j1_photo_rows, j3_probabilities, j11_class_flags, j11_all_class_flags, a4_status, x1_camera, x2_exif_numbers, x5_time_parts, x8_light, x25_class_names,
+    s21_aligned_vectors, j1_photo_rows, j3_probabilities, j11_class_flags, j11_all_class_flags, a4_status, x1_camera, x2_exif_numbers, x12_thresholds, x5_time_parts, x8_light, x25_class_names,
 )}
 
 I = "with i as (select distinct on (item_id) * from image_items), v as (select distinct on (item_id) * from preprocess_results)"  # noqa: E741
@@ -224,7 +239,7 @@ ORACLE = {
     "f10_manual": I + f" select item_id, {_MANUAL} as manual, coalesce(label_source, 'manual') = 'manual' as manual_source from i",
     "f11_training_rows": I + " select item_id, case when lower(trim(label)) = 'keep' then 1 else 0 end as y from i where lower(trim(label)) in ('keep', 'trash') and coalesce(label_source, 'manual') = 'manual'",
     "f14_scored": _ID + "pick_score is not null and not isnan(pick_score)",
-    "f15_feature_subset": I + " select item_id, " + ", ".join(f"round(hist_feat[{j + 1}]::double, 6) as f{n}" for n, j in enumerate((0, 5, 17, 31, 47))) + " from v where len(hist_feat) = 48",
+    "f15_feature_subset": I + " select item_id, " + ", ".join(f"round({BIN_SQL[i]}, 6) as h{i}" for i in (0, 5, 11, 17, 23)) + " from v where len(hist_feat) in (24, 48)",
     "f16_class_presence": I + """ select c as class, count(*) as n, case when count(*) / (select count(*) from i) < 0.01 then 'insufficient_data' else 'ok' end as status
 from (select item_id, unnest(list_distinct(objects)) as c from i) group by c""",
     "f17_exif_dates": I + f" select case when {_RAW} is null then 'missing' when {_TIME} is null then 'other' else 'standard' end as kind, count(*) as n from i group by 1",
@@ -237,8 +252,10 @@ from (select item_id, unnest(list_distinct(objects)) as c from i) group by c""",
     "s8_cache_split": I + " select item_id, case when item_id in (select item_id from preprocess_results where len(hist_feat) in (24, 48)) then 'hit' else 'needed' end as state from i",
     "s10_cache_key": "select row_id, sha256(file_path || ':' || epoch(date_trunc('second', ingested_at))::bigint || ':' || file_size) as cache_key from photo_metadata where file_path is not null and ingested_at is not null and file_size is not null",
     "s12_group_cache": I + " select 0::bigint as gone, count(*) as new, count(*) = 0 as valid from i where group_id is null",
-    "s21_aligned_vectors": I + """ select i.item_id, round(coalesce(list_sum(list_filter(hist_feat::double[], lambda x: x is not null and not isnan(x))), 0), 4) as total, 48::int as width
-from i left join (select * from v where len(hist_feat) = 48) v using (item_id)""",
+    "s21_aligned_vectors": I + ", b as (select item_id, " + " + ".join(BIN_SQL) + " as t from v where len(hist_feat) in (24, 48)) select i.item_id, round(coalesce(t, 0), 4) as total, 24::int as width from i left join b using (item_id)",
+    "j1_photo_rows": BASE + f""" select item_id, i.filename, exif['Model'] as model, {_number('ISOSpeedRatings')} as iso, coalesce(rating, 0) as rating, coalesce(len(tags), 0)::int as n_tags,
+ lower(trim(coalesce(label, ''))) as state, coalesce(list_sort(list_distinct(list_filter(objects, lambda o: o is not null))), []) as objects,
+ coalesce(case when isnan(pick_score) then null else pick_score end, 0.5) as p, camera_id, us from i left join ph using (filename)""",
     "j3_probabilities": I + " select item_id, coalesce(case when isnan(pick_score) then null else pick_score end, 0.5) as p from i",
     "j11_class_flags": I + " select item_id, " + ", ".join(f"coalesce(list_contains(objects, '{c}'), false)::int as {c}" for c in ("person", "car", "bird", "bench", "dog", "cat", "bicycle", "boat")) + " from i",
     "j11_all_class_flags": I + " select item_id, " + ", ".join(f"coalesce(list_contains(list_transform(objects, lambda c: lower(c)), '{c}'), false)::int as \"{c.replace(' ', '_')}\"" for c in CLASSES)
@@ -247,7 +264,11 @@ from i left join (select * from v where len(hist_feat) = 48) v using (item_id)""
  count_if(trim(coalesce(label, '')) <> '' and label_source is distinct from 'auto')::bigint as manual, count_if(trim(coalesce(label, '')) <> '' and label_source = 'auto')::bigint as auto from i""",
     "x1_camera": I + """ select item_id, case when nullif(trim(exif['Make']), '') is not null and nullif(trim(exif['Model']), '') is not null
  then concat_ws(' ', trim(exif['Make']), trim(exif['Model']), nullif(trim(exif['BodySerialNumber']), '')) else 'unknown' end as camera_id from i""",
-    "x2_exif_numbers": I + f" select item_id, {_number('ISOSpeedRatings')} as iso, round({_number('FNumber')}, 6) as f_number, round(ln(1 + {_number('ISOSpeedRatings')}), 6) as log_iso from i",
+    "x2_exif_numbers": I + ", z as (select filename, max(file_size) as file_size from photo_metadata group by 1) select item_id, " + ", ".join(f"round({_number(t)}, 6) as {n}" for t, n in exif.NUMBERS.items() if t != "Flash")
+    + f", ({_number('Flash')}::bigint & 1)::int as flash_fired, round(ln(1 + {_number('ISOSpeedRatings')}), 6) as log_iso, round(ln(1 + {_number('ExposureTime')}), 6) as log_shutter, round(ln(1 + coalesce(file_size, 0)), 6) as log_size from i left join z using (filename)",
+    "x12_thresholds": """select run_id, round(metrics['accuracy'], 4) as keep, round(metrics['brier'] * 3, 4) as trash,
+ coalesce(round(metrics['accuracy'], 4) > 0 and round(metrics['accuracy'], 4) <= 1 and round(metrics['brier'] * 3, 4) >= 0 and round(metrics['brier'] * 3, 4) < 1
+  and round(metrics['accuracy'], 4) > round(metrics['brier'] * 3, 4), false) as holds from benchmark_results""",
     "x5_time_parts": I + f" select item_id, hour(t)::int as hour, (isodow(t) - 1)::int as weekday, month(t)::int as month, isodow(t) >= 6 as weekend from (select item_id, {_TIME} as t from i) where t is not null",
     "x8_light": I + """ select item_id, round(w, 6) as warmth, round(least(1.0, case when h between 6 and 8 or h between 18 and 20 then 0.5 + 0.5 * greatest(0, w / 50) else 0.2 * greatest(0, w / 50) end), 6) as golden_hour
 from (select item_id, item_id % 24 as h, case when mean_r + mean_g + mean_b > 0 then (mean_r - mean_b) / (mean_r + mean_g + mean_b) * 100 else 0 end as w from v)""",

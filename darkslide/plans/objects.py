@@ -7,6 +7,7 @@ events: a user is a path.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from darkslide.operators import detections as d
@@ -69,6 +70,20 @@ def j2_undetected(spark, data):
     return o.join(_detections(spark, data), "image", "left_anti")
 
 
+def j2_with_detections(spark, data):
+    """Every order with the classes of its detections, an empty list and a flag where there are none."""
+    o = table(spark, data, "orders").select(F.col("o_orderkey").alias("image"))
+    found = _detections(spark, data).groupBy("image").agg(F.sort_array(F.collect_set("class")).alias("classes"), F.count("*").alias("n"))
+    j = o.join(found, "image", "left")
+    return j.select("image", F.coalesce("classes", F.array().cast("array<string>")).alias("classes"), F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("to_process"))
+
+
+def o4_by_confidence(spark, data):
+    """All detections of an image by confidence, with their place."""
+    w = Window.partitionBy("image").orderBy(F.desc("conf"), "det", "part")
+    return _detections(spark, data).select("image", "det", "part", (F.row_number().over(w) - 1).alias("at"))
+
+
 def x17_to_thumbnail(spark, data):
     t = _detections(spark, data)
     return t.select("image", "det", "part", d.to_thumbnail(F.col("area") * 400, F.lit(400.0), F.lit(130.0), 3).alias("x"), d.to_thumbnail(F.col("conf") * 300, F.lit(300.0), F.lit(97.0), 5).alias("y"))
@@ -80,6 +95,26 @@ def x18_area(spark, data):
     return t.select("image", "det", "part", F.round(d.area_ratio(a - 20, a / 2, a + 30, a * 2, F.lit(100.0), F.lit(80.0)), 6).alias("ratio"))
 
 
+def x18_shown_area(spark, data):
+    """The share for display, of boxes in pixels and, where the size is not known, in shares."""
+    t, a = _detections(spark, data), F.col("area")
+    known = F.col("det") % 2 == 0
+    size = lambda v: F.when(known, F.lit(v))
+    pixels = lambda p, s: F.when(known, p).otherwise(s)
+    return t.select("image", "det", "part", F.round(d.shown_area(pixels(a * 10, a / 2), pixels(a * 5, a / 3), pixels(a * 90, a / 4), pixels(a * 60, a / 5), size(100.0), size(80.0)), 6).alias("ratio"))
+
+
+def x20_sanitised(spark, data):
+    """Detections written in the strict shapes, and read back."""
+    t = _detections(spark, data).select("image", "det", "part", "class", F.round("conf", 2).alias("conf"))
+    c = F.col("conf").cast("string")
+    text = (
+        F.when(F.col("det") % 3 == 0, F.concat(F.lit('{"class": "'), "class", F.lit('", "confidence": '), c, F.lit("}")))
+        .when(F.col("det") % 3 == 1, F.concat(F.lit('{"name": "'), "class", F.lit('", "score": '), c, F.lit("}"))).otherwise(F.concat(F.lit('["'), "class", F.lit('", '), c, F.lit("]")))
+    )
+    return t.select("image", "det", "part", d.sanitised(text).alias("d")).select("image", "det", "part", "d.class", "d.conf")
+
+
 def x19_normalised(spark, data):
     """Detections written in five different ways, and read back."""
     t = _detections(spark, data).select("image", "det", "part", "class", F.round("conf", 2).alias("conf"))
@@ -138,6 +173,18 @@ def r9_review(spark, data):
     return lab.review_stats(flagged.select((F.col("source") == "manual").alias("reviewed"), F.when((F.col("source") == "manual") & (F.col("state") != ""), F.col("state")).alias("user_label")))
 
 
+def r9_actions(spark, data):
+    """The queue after the last answer to each entry, and what it does to the labels: confirmed ones are applied, answered ones cleared."""
+    flagged = lab.flagged(_predictions(spark, data).filter("predicted <> ''"), 0.9)
+    answers = _labels(spark, data).filter("source = 'manual'").select("path", F.col("state").alias("user_label"), F.lit(1).cast("bigint").alias("seq"))
+    return lab.review(flagged, answers)
+
+
+def r5_dirty(spark, data):
+    """After a new prediction: all unlabelled and automatically labelled paths with the label they get, and whether it is another."""
+    return lab.dirty(_labels(spark, data), _predictions(spark, data))
+
+
 def u5_labels_with_pending(spark, data):
     """Stored labels, overlaid by pending changes in order."""
     stored = _labels(spark, data).select("path", "state", F.lit(0).cast("bigint").alias("seq"))
@@ -159,7 +206,7 @@ def g5_first_match_groups(spark, data):
 
 
 QUERIES = {f.__name__: f for f in (
-    f12_confident, f13_top_of_image, o8_overlay, a22_classes_of_extremes, a23_summary, a24_best_of_class, a25_fullest_image, a35_class_counts, j2_undetected,
+    f12_confident, f13_top_of_image, o8_overlay, a22_classes_of_extremes, a23_summary, a24_best_of_class, a25_fullest_image, a35_class_counts, j2_undetected, j2_with_detections, o4_by_confidence, x18_shown_area, x20_sanitised, r5_dirty, r9_actions,
     x17_to_thumbnail, x18_area, x19_normalised, r1_label_states, r8_last_pending, r10_replay, r2_r3_applied, r4_refreshed, r9_review, u5_labels_with_pending,
     g5_first_match_groups,
 )}
@@ -199,6 +246,15 @@ from (select case when area >= 0.8 then 'high' when area <= 0.2 then 'low' end a
     "a25_fullest_image": D + " select image, count(*) as n from d group by image order by n desc, image limit 1",
     "a35_class_counts": D + " select class, count(*) as n from d group by class order by n desc, class limit 10",
     "j2_undetected": "select o_orderkey as image from orders where o_orderkey not in (select l_orderkey from lineitem)",
+    "j2_with_detections": D + " select o_orderkey as image, coalesce(list_sort(list_distinct(list(class) filter (class is not null))), []) as classes, count(class) as n, count(class) = 0 as to_process from orders left join d on image = o_orderkey group by 1",
+    "o4_by_confidence": D + """ select image, det, part, (row_number() over (partition by image order by conf desc, det, part) - 1)::int as "at" from d""",
+    "x18_shown_area": D + " select image, det, part, round(case when det % 2 = 0 then (area * 90 - area * 10) * (area * 60 - area * 5) / 8000.0 else area / 4 * (area / 5) end, 6) as ratio from d",
+    "x20_sanitised": D + " select image, det, part, class, round(conf, 2) as conf from d",
+    "r5_dirty": P + """ select path, state as old, case when p is null then state else predicted end as new, case when p is null then false else predicted <> state end as changed
+from lb left join pr using (path) where state = '' or source = 'auto'""",
+    "r9_actions": P + """, f as (select path, predicted, p from pr where predicted <> '' and p >= 0.9)
+select path, predicted, p, source = 'manual' as reviewed, case when source = 'manual' then state end as user_label,
+ case when source = 'manual' and state in ('keep', 'trash') then state end as applied, source = 'manual' as cleared from f left join lb using (path)""",
     "x17_to_thumbnail": D + " select image, det, part, trunc(area * 400 * 130.0 / 400.0)::int + 3 as x, trunc(conf * 300 * 97.0 / 300.0)::int + 5 as y from d",
     "x18_area": D + """, b as (select image, det, part, area * 100 as a from d), c as (select *, greatest(0, least(a - 20, 100)) as x1, greatest(0, least(a + 30, 100)) as x2, greatest(0, least(a / 2, 80)) as y1, greatest(0, least(a * 2, 80)) as y2 from b)
 select image, det, part, round(greatest(0, x2 - x1) * greatest(0, y2 - y1) / 8000, 6) as ratio from c""",

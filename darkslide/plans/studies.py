@@ -45,8 +45,8 @@ def m24_correlations(spark, data):
 
 
 def m24_redundant(spark, data):
-    """Pairs of all features that tell nearly the same."""
-    return s.correlations(_features(spark, data), [*STATS, *BINS]).filter(F.abs("r") > 0.95).select("a", "b", F.round("r", 6).alias("r"))
+    """Pairs of all features, and whether the two tell nearly the same."""
+    return s.correlation_matrix(_features(spark, data), [*STATS, *BINS]).select("a", "b", F.round("r", 6).alias("r"), (F.abs("r") > 0.95).alias("redundant"))
 
 
 def m24_target(spark, data):
@@ -217,13 +217,14 @@ _VOTES = """with l as (select l_partkey as part, least(10, greatest(1, ceil(l_qu
 g as (select part::varchar as image_id, count(*) as n, avg(score) as mean from l group by part),
 s17 as (select image_id, n, round(mean, 6) as mean, (mean >= 6)::int as good, greatest(1, least(10, round_even(mean, 0)::int)) as class from g)"""
 _H = [f"case when len(hist_feat) = 48 then coalesce(nanless(hist_feat[{2 * i + 1}]), 0) + coalesce(nanless(hist_feat[{2 * i + 2}]), 0) else coalesce(nanless(hist_feat[{i + 1}]), 0) end" for i in range(24)]
-_H = [re.sub(r"nanless\((hist_feat\[\d+\])\)", r"(case when isnan(\1) then 0 else \1::double end)", h) for h in _H]
-_ALL = V + ", f as (select item_id, " + ", ".join(STATS) + ", " + ", ".join(f"{h} as h{i}" for i, h in enumerate(_H)) + " from v where len(hist_feat) in (24, 48))"
+BIN_SQL = [re.sub(r"nanless\((hist_feat\[\d+\])\)", r"(case when isnan(\1) then 0 else \1::double end)", h) for h in _H]
+_ALL = V + ", f as (select item_id, " + ", ".join(STATS) + ", " + ", ".join(f"{h} as h{i}" for i, h in enumerate(BIN_SQL)) + " from v where len(hist_feat) in (24, 48))"
 _RANKED = _ALL + ", rk as (select feature, x, row_number() over (order by x desc, feature) as rank from (" + " union all ".join(f"select '{c}' as feature, var_pop({c}) as x from f" for c in (*STATS, *BINS)) + "))"
-_ALL_PAIRS = " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from f" for k, a in enumerate([*STATS, *BINS]) for b in [*STATS, *BINS][k + 1 :])
+_SOUND = " and ".join(f"{c} is not null and not isnan({c})" for c in STATS)
+_ALL_PAIRS = " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from w" for k, a in enumerate([*STATS, *BINS]) for b in [*STATS, *BINS][k + 1 :])
 ORACLE = {
     "m24_correlations": f"{V} select a, b, round(r, 6) as r from ({_PAIRS})",
-    "m24_redundant": f"{_ALL} select a, b, round(r, 6) as r from ({_ALL_PAIRS}) where abs(r) > 0.95",
+    "m24_redundant": f"{_ALL}, w as materialized (select * from f where {_SOUND}) select a, b, round(r, 6) as r, abs(r) > 0.95 as redundant from ({_ALL_PAIRS})",
     "m24_target": V + ", j as (select v.*, case lower(trim(label)) when 'keep' then 1.0 when 'trash' then 0.0 end as y from v join i using (item_id)) select feature, round(r, 6) as r from ("
     + " union all ".join(f"select '{c}' as feature, corr({c}, y) as r from j where y is not null" for c in STATS) + ") order by abs(r) desc, feature limit 30",
     "a28_variances": _RANKED + " select feature, round(x, 4) as variance, rank::int as rank from rk where rank <= 15",

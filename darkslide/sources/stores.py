@@ -41,6 +41,49 @@ def load_reviews(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.map_entries("m")).alias("e")).select(F.col("e.key").alias("filename"), "e.value.*")
 
 
+def save_reviews(reviews: DataFrame, path: str) -> None:
+    """The whole queue anew, one JSON row an entry; ``load_review_rows`` reads it."""
+    reviews.write.mode("overwrite").json(path)
+
+
+def load_review_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("filename string, predicted_label string, confidence double, reviewed boolean, user_label string").json(path)
+
+
+def purge_features(spark: SparkSession, path: str, version: str, width: int) -> int:
+    """Empty the cache of a version if any of its features has another width than expected; how many rows went."""
+    where = f"{path}/feature_version={version}"
+    stored = spark.read.parquet(where)
+    n, wrong = stored.agg(F.count("*"), F.count_if(F.coalesce(F.size("features"), F.lit(-1)) != width)).first()
+    if wrong:
+        spark.createDataFrame([], stored.schema).write.mode("overwrite").parquet(where)
+    return n if wrong else 0
+
+
+def fresh(cached: DataFrame, files: DataFrame) -> DataFrame:
+    """Cached rows (path, modified, ...) of files (path, modificationTime) that have not changed since."""
+    now = files.select("path", F.unix_micros("modificationTime").alias("__now"))
+    return cached.join(now, "path").filter(F.col("modified") == F.col("__now")).drop("__now")
+
+
+def group_cache_valid(stored: DataFrame, files: DataFrame) -> bool:
+    """Whether a stored grouping (path, modified) has just the files there are, each with its time."""
+    now = files.select("path", F.unix_micros("modificationTime").alias("modified"))
+    return stored.select("path", "modified").exceptAll(now).isEmpty() and now.exceptAll(stored.select("path", "modified")).isEmpty()
+
+
+def save_baseline(metrics: dict[str, float], path: str) -> None:
+    """The metrics that later runs are compared with."""
+    save_parameters(metrics, path)
+
+
+def against_baseline(runs: DataFrame, path: str) -> DataFrame:
+    """(run_id, metric, value, baseline) of runs (run_id, metrics) for the metrics of a stored baseline; none without one."""
+    spark, base = runs.sparkSession, load_parameters(path)
+    known = spark.createDataFrame([(k, float(v)) for k, v in base.items()], "metric string, baseline double")
+    return runs.select("run_id", F.explode("metrics").alias("metric", "value")).join(F.broadcast(known), "metric").select("run_id", "metric", "value", "baseline")
+
+
 def save_features(features: DataFrame, path: str, version: str) -> None:
     """Features of one version replace those of that version only."""
     features.write.mode("overwrite").parquet(f"{path}/feature_version={version}")
