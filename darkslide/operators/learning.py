@@ -84,11 +84,32 @@ def oversampled(rows: DataFrame, item: str, y: str, rare: int, k: int = 5, facto
     return j.select(F.zip_with("x", "z", lambda p, q: p + F.col("u") * (q - p)).alias("features"), F.lit(rare).alias(y))
 
 
-def _near_in_blocks(few: DataFrame, k: int, block: int = 5000) -> DataFrame:
-    n = max(1, -(-few.count() // block))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
-    left = few.withColumn("p", part("a")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = few.select(F.col("a").alias("a2"), F.col("x").alias("x2")).withColumn("q", part("a2")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def adasyn(rows: DataFrame, item: str, y: str, rare: int, k: int = 5, factor: float = 1.0) -> DataFrame:
+    """As ``oversampled``, but more rows are made from rare rows with many others among their ``k`` nearest.
+
+    A rare row gets its share of ``factor`` times the rare rows, by the share of other
+    classes around it, rounded; where no rare row has others around it none is made.
+    """
+    everything = rows.select(F.col(item).alias("a"), vector_to_array("features").alias("x"), F.col(y).alias("c"))
+    few = everything.filter(F.col("c") == rare).select("a", "x")
+    around = _near_in_blocks(few, k, everything.select("a", "x")).select("a", F.explode("near").alias("b"))
+    hard = around.join(everything.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.avg((F.col("c") != rare).cast("double")).alias("r"))
+    total = hard.agg(F.sum("r").alias("total"), F.count("*").alias("n"))
+    wanted = hard.crossJoin(F.broadcast(total)).select("a", F.when(F.col("total") > 0, F.round(F.col("r") / F.col("total") * F.col("n") * factor)).otherwise(0).cast("int").alias("m"))
+    near = _near_in_blocks(few, k).join(wanted.filter("m > 0"), "a").select("a", "near", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i"))
+    pick = F.pmod(F.xxhash64("a", "i"), F.size("near")).cast("int")
+    pairs = near.filter(F.size("near") > 0).select("a", "i", F.col("near")[pick].alias("b"), (F.pmod(F.xxhash64("i", "a"), F.lit(1000)) / 1000).alias("u"))
+    j = pairs.join(few, "a").join(few.select(F.col("a").alias("b"), F.col("x").alias("z")), "b")
+    return j.select(F.zip_with("x", "z", lambda p, q: p + F.col("u") * (q - p)).alias("features"), F.lit(rare).alias(y))
+
+
+def _near_in_blocks(few: DataFrame, k: int, among: DataFrame | None = None, block: int = 5000) -> DataFrame:
+    """(a, near): of each row (a, x) of ``few`` the ids of the ``k`` nearest others, among ``few`` or ``among``."""
+    other = few if among is None else among
+    n, m = (max(1, -(-d.count() // block)) for d in (few, other))
+    part = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts))
+    left = few.withColumn("p", part("a", n)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = other.select(F.col("a").alias("a2"), F.col("x").alias("x2")).withColumn("q", part("a2", m)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def run(a, b):
         import pandas as pd
@@ -179,6 +200,104 @@ def coordinate_search(rows: DataFrame, kind: str, values: dict[str, list], start
     return best, score
 
 
+def adjusted_trees(rows: int, trees: int) -> int:
+    """At most 60 trees for ten rows or fewer."""
+    return min(trees, 60) if rows <= 10 else trees
+
+
+def adjusted_leaf(rare: int, least: int) -> int:
+    """Rows that a leaf needs, less for fewer than 30 rows of the rare class, so that trees can be cut at all."""
+    return min(least, max(1, min(2, rare // 5))) if least > 1 and rare < 30 else least
+
+
+def suggest(space: dict[str, tuple | list], done: list[tuple[dict, float]], rng: np.random.Generator, startup: int = 5, good: float = 0.25, tries: int = 24) -> dict:
+    """The next point to try, by tree-structured Parzen estimators.
+
+    ``space``: a list of options, or (low, high) or (low, high, "log"), of whole numbers if
+    both are. ``done``: points with their scores, the higher the better. After ``startup``
+    random points each parameter is drawn from the density of the best share of the points
+    where that is highest against the density of the others.
+    """
+    ranked = sorted(done, key=lambda d: -d[1])
+    n = max(1, int(np.ceil(good * len(ranked))))
+    best, rest = [p for p, _ in ranked[:n]], [p for p, _ in ranked[n:]]
+    point = {}
+    for name, s in space.items():
+        if isinstance(s, list):
+            share = lambda some, o: (sum(p[name] == o for p in some) + 1) / (len(some) + len(s))
+            weights = np.array([share(best, o) / share(rest, o) if len(done) >= startup else 1.0 for o in s])
+            point[name] = s[int(rng.choice(len(s), p=weights / weights.sum()))]
+            continue
+        log, whole = len(s) > 2, isinstance(s[0], int) and isinstance(s[1], int)
+        to, back = (np.log, np.exp) if log else (np.asarray, np.asarray)
+        lo, hi = float(to(s[0])), float(to(s[1]))
+        if len(done) < startup:
+            x = rng.uniform(lo, hi)
+        else:
+            width = lambda some: max((hi - lo) / (1 + len(some)), (hi - lo) / 25)
+            a, b = (np.array([float(to(p[name])) for p in some]) for some in (best, rest))
+
+            def density(x: np.ndarray, at: np.ndarray, w: float) -> np.ndarray:
+                kernels = np.exp(-(((x[:, None] - at[None, :]) / w) ** 2) / 2) / w if len(at) else np.zeros((len(x), 0))
+                return (kernels.sum(axis=1) + 1 / (hi - lo)) / (len(at) + 1)
+
+            options = np.clip(np.r_[rng.choice(a, tries) + rng.normal(0, width(a), tries), rng.uniform(lo, hi, 1)], lo, hi)
+            x = options[np.argmax(density(options, a, width(a)) / density(options, b, width(b)))]
+        point[name] = int(round(float(back(x)))) if whole else float(back(x))
+    return point
+
+
+def tpe_search(space: dict, score: Callable[[dict], float], trials: int, seed: int = 42) -> list[tuple[dict, float]]:
+    """Points with their scores, best first, each suggested by those before it."""
+    rng, done = np.random.default_rng(seed), []
+    for _ in range(trials):
+        point = suggest(space, done, rng)
+        done.append((point, float(score(point))))
+    return sorted(done, key=lambda d: -d[1])
+
+
+def mutual_information(rows: DataFrame, columns: list[str], y: str, parts: int = 10) -> DataFrame:
+    """(feature, bits): what each column, cut into ``parts`` of equal width, tells of ``y``; null and NaN are a part of their own."""
+    clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    span = rows.agg(*[f(clean[c]).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    wide = rows.crossJoin(F.broadcast(span))
+
+    def part(c: str) -> Column:
+        lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        at = F.when(hi > lo, F.least(F.lit(parts - 1), F.floor((clean[c] - lo) / (hi - lo) * parts))).otherwise(0)
+        return F.when(clean[c].isNull(), -1).otherwise(at).cast("int")
+
+    long = wide.select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), part(c).alias("part")) for c in columns])).alias("f")).select("y", "f.*")
+    joint = long.groupBy("feature", "part", "y").agg(F.count("*").alias("n"))
+    x, k, f = Window.partitionBy("feature", "part"), Window.partitionBy("feature", "y"), Window.partitionBy("feature")
+    told = joint.select("feature", "n", F.sum("n").over(x).alias("nx"), F.sum("n").over(k).alias("ny"), F.sum("n").over(f).alias("t"))  # at most parts x classes rows a feature
+    return told.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("bits"))
+
+
+def eliminated_ranks(rows: DataFrame, names: list[str], keep: int, kind: str = "forest") -> list[tuple[str, int]]:
+    """Recursive elimination of one feature at a time: rank 1 for the ``keep`` that stay, higher the earlier a feature went."""
+    left, ranks = list(range(len(names))), {}
+    held = Written(rows, "rows").df
+    while len(left) > keep:
+        weight = MODELS[kind]().fit(without(held, set(range(len(names))) - set(left), len(names))).featureImportances.toArray()
+        out = left.pop(int(np.argmin(weight)))
+        ranks[out] = len(left) - keep + 2
+    return [(n, ranks.get(i, 1)) for i, n in enumerate(names)]
+
+
+def tuned_and_retrained(rows: DataFrame, kind: str, points: list[dict], names: list[str], path: str, k: int = 2) -> tuple[dict, float]:
+    """The best point by cross-validation, and a model of all rows made with it, stored with its metadata.
+
+    ValueError if the model has learnt nothing; what is stored then stays as it was.
+    """
+    best, score = search(rows, kind, points, k)[0]
+    model = MODELS[kind](**best).fit(rows)
+    if hasattr(model, "featureImportances") and not healthy(model):
+        raise ValueError("the model has learnt nothing")
+    save_model(model, path, {**metadata(best, names, rows.count(), kind), "score": score})
+    return best, score
+
+
 def platt(scored: DataFrame) -> tuple[float, float]:
     """Slope and offset of the logistic curve that turns scores into probabilities."""
     from pyspark.ml.feature import VectorAssembler

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+import uuid
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkslide.operators import evaluation as ev
 from darkslide.operators import learning as L
-from darkslide.operators.shared import Written
+from darkslide.operators.shared import Written, shared_folder
 from darkslide.plans.grouping import items
-from darkslide.plans.studies import BINS, STATS, bins
+from darkslide.plans.studies import _ALL, BINS, STATS, _features, bins
 from darkslide.sources.tables import table
 
 NAMES = [*STATS, *BINS, "rating"]
@@ -192,6 +196,63 @@ def m25_ablation(spark, data):
     return _table(spark, out, "left_out string, roc_auc double")
 
 
+def m17_parzen_search(spark, data):
+    """Points suggested by Parzen estimators, with their areas under the curve, best first."""
+    d = Written(dataset(spark, data), "dataset").df
+    space = {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0), "maxIter": (10, 50)}
+    score = lambda p: np.mean([r["roc_auc"] for r in L.cross_validated(d, "logistic", 2, **p)])
+    found = L.tpe_search(space, score, trials=8)
+    return _table(spark, [(p["regParam"], p["elasticNetParam"], p["maxIter"], s) for p, s in found], "reg double, elastic double, max_iter int, roc_auc double")
+
+
+def m22_adasyn(spark, data):
+    made = L.adasyn(dataset(spark, data), "id", "y", 0)
+    return made.select("y", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("features").alias("width"))
+
+
+def m23_mutual_information(spark, data):
+    """Bits that each feature, in ten parts, tells of the label."""
+    rows = _labelled(spark, data).select("id", "y").join(_features(spark, data).withColumnRenamed("item_id", "id"), "id")
+    return L.mutual_information(Written(rows, "features").df, [*STATS, *BINS], "y").select("feature", F.round("bits", 6).alias("bits"))
+
+
+def m23_recursive_elimination(spark, data):
+    """Rank of each feature when the least important goes one at a time until 30 are left."""
+    return _table(spark, L.eliminated_ranks(dataset(spark, data), NAMES, 30), "feature string, rank int")
+
+
+def m36_improvements(spark, data):
+    """Metrics of a plain model, a regularised one, and one with products of features, on the same test part."""
+    train, test = _split(spark, data)
+    more = lambda d: PolynomialExpansion(degree=2, inputCol="f", outputCol="features").transform(d.withColumnRenamed("features", "f")).drop("f")
+    few = lambda d: L.without(d, set(range(9, len(NAMES))), len(NAMES))
+    kinds = (("plain", {"regParam": 0.0}, train, test), ("regularised", {"regParam": 0.1}, train, test), ("few", {"regParam": 0.1}, few(train), few(test)), ("few with products", {"regParam": 0.1}, more(few(train)), more(few(test))))
+    out = []
+    for name, params, a, b in kinds:
+        m = L.measured(Written(L.scores(L.MODELS["logistic"](**params).fit(a), b), "scored").df, threshold=0.5)
+        out.append((name, float(m["accuracy"]), float(m["roc_auc"])))
+    return _table(spark, out, "kind string, accuracy double, roc_auc double")
+
+
+def m37_one_dimension(spark, data):
+    """Each parameter of boosted trees by itself, the others at their defaults: score of each value on the test part."""
+    train, test = _split(spark, data)
+    out = []
+    for name, values in (("stepSize", [0.05, 0.1, 0.2]), ("maxIter", [5, 10, 20]), ("maxDepth", [2, 4])):
+        for v in values:
+            m = L.measured(Written(L.scores(L.MODELS["gbt"](**{"maxIter": 8, name: v}).fit(train), test), "scored").df, threshold=0.5)
+            out.append((name, float(v), float(m["accuracy"]), float(m["roc_auc"])))
+    return _table(spark, out, "parameter string, value double, accuracy double, roc_auc double")
+
+
+def m38_tuned(spark, data):
+    """The best point of a sweep, the model of all rows made with it, stored and read again: its metadata."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex[:12]}"
+    best, score = L.tuned_and_retrained(dataset(spark, data), "logistic", L.grid({"regParam": [0.001, 0.05]}), NAMES, path)
+    _, meta = L.load_model(LogisticRegressionModel, path, spark)
+    return _table(spark, [(best["regParam"], score, meta["feature_count"], meta["n_samples"], meta["mode"])], "reg double, roc_auc double, features int, rows bigint, kind string")
+
+
 def m27_elimination(spark, data):
     found = L.eliminated(dataset(spark, data), NAMES)
     return _table(spark, found, "round int, features int, accuracy double")
@@ -231,7 +292,7 @@ def m26_m35_with_and_without(spark, data):
 QUERIES = {f.__name__: f for f in (
     m2_gate, m3_split, m4_folds, m4_grouped_folds, m5_cross_validation, m6_m9_fit, m7_early_stopping, m10_importances, m11_m30_calibrated, m12_predictions,
     m16_random_search, m18_sweep, m19_coordinate_search, m20_ensembles, m21_algorithms, m22_undersampled, m22_weights, m22_oversampled,
-    m23_permuted_importance, m25_ablation, m26_m35_with_and_without, m27_elimination,
+    m17_parzen_search, m22_adasyn, m23_mutual_information, m23_recursive_elimination, m36_improvements, m37_one_dimension, m38_tuned, m23_permuted_importance, m25_ablation, m26_m35_with_and_without, m27_elimination,
 )}
 
 R = """with i as (select distinct on (item_id) * from image_items), l as (select item_id as id, album, case lower(trim(label)) when 'keep' then 1 when 'trash' then 0 end as y from i),
@@ -242,6 +303,10 @@ ORACLE = {
     "m4_folds": R + " select id, (place % 3)::int as fold from r",
     "m4_grouped_folds": R + """, g as (select album, count(*) as c from r where album is not null group by 1), d as (select album, row_number() over (order by c desc, album) - 1 as k from g)
 select id, (case when (k // 5) % 2 = 1 then 4 - k % 5 else k % 5 end)::int as fold from r join d using (album)""",
+    "m23_mutual_information": _ALL + ", w as materialized (select y, " + ", ".join([*STATS, *BINS]) + " from f join (select item_id, case lower(trim(label)) when 'keep' then 1 when 'trash' then 0 end as y from i) using (item_id) where y is not null), l as (" + " union all ".join(
+        f"select '{c}' as feature, y, case when x is null then -1 when hi > lo then least(9, floor((x - lo) / (hi - lo) * 10)) else 0 end as part from (select y, x, min(x) over () as lo, max(x) over () as hi from (select y, case when isnan({c}) then null else {c}::double end as x from w))" for c in (*STATS, *BINS)
+    ) + """), g as (select feature, part, y, count(*) as n from l group by all), t as (select feature, n, sum(n) over (partition by feature, part) as nx, sum(n) over (partition by feature, y) as ny, sum(n) over (partition by feature) as t from g)
+select feature, round(sum(n / t * log2(n * t / (nx * ny))), 6) as bits from t group by feature""",
     "m22_undersampled": R + " select id, y from r where place < (select min(n) from r)",
     "m22_weights": R + " select id, round((select count(*) from r) / ((select count(distinct y) from r) * n), 6) as weight from r",
 }

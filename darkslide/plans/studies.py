@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from darkslide.functions import pixels
 from darkslide.operators import study as s
-from darkslide.operators.shared import spread
+from darkslide.operators.shared import Written, spread
 from darkslide.plans.grouping import items
 from darkslide.sources.stores import votes
 from darkslide.sources.tables import table
@@ -46,7 +46,8 @@ def m24_correlations(spark, data):
 
 def m24_redundant(spark, data):
     """Pairs of all features, and whether the two tell nearly the same."""
-    return s.correlation_matrix(_features(spark, data), [*STATS, *BINS]).select("a", "b", F.round("r", 6).alias("r"), (F.abs("r") > 0.95).alias("redundant"))
+    v = Written(_features(spark, data), "features").df
+    return s.correlation_matrix(v, [*STATS, *BINS]).select("a", "b", F.round("r", 6).alias("r"), (F.abs("r") > 0.95).alias("redundant"))
 
 
 def m24_target(spark, data):

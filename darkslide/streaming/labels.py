@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,6 +56,53 @@ def coalesced(requests: DataFrame, key: str, ts: str, lateness: str = "10 minute
     return requests.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
+class SingleFlight:
+    """At most one run of a task at a time, with a pause between the beginnings of two; requests made meanwhile become one further run.
+
+    ``run`` gets what the last run left, and what it returns is kept; a run that fails keeps
+    the last result, counts as failed and does not stop later ones.
+    """
+
+    def __init__(self, run: Callable, pause: float = 1.5, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.run, self.pause, self.clock, self.sleep = run, pause, clock, sleep
+        self.lock, self.pending, self.running, self.began = threading.Lock(), False, False, None
+        self.result, self.runs, self.failed = None, 0, 0
+
+    def request(self) -> bool:
+        """Ask for a run; whether this call did the running. It returns when nothing is pending."""
+        with self.lock:
+            self.pending = True
+            if self.running:
+                return False
+            self.running = True
+        while True:
+            with self.lock:
+                if not self.pending:
+                    self.running = False
+                    return True
+                self.pending = False
+            if self.began is not None and (left := self.began + self.pause - self.clock()) > 0:
+                self.sleep(left)
+            self.began = self.clock()
+            try:
+                self.result, self.runs = self.run(self.result), self.runs + 1
+            except Exception:  # the next run may do better
+                self.failed += 1
+
+
+def picture_stream(spark: SparkSession, folder: str, at_once: int = 20) -> DataFrame:
+    """Pictures of a folder as they come, so many in a batch; a stream goes on where it was."""
+    kind = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", at_once).load(folder)
+
+
+def scored_so_far(spark: SparkSession, sink: str, key: str) -> DataFrame:
+    """Of what ``score_stream`` has written the last score of each key; usable while the stream still runs, and to start from after a stop."""
+    rows = spark.read.parquet(sink)
+    others = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("__r")).select(key, "__r.*")
+
+
 def score_stream(rows: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
     """Score each micro-batch and append it to a parquet table, once for each batch even if it is retried."""
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from conftest import rows
 from pyspark.ml.linalg import Vectors
 
@@ -74,3 +75,46 @@ def test_blocks_compare_as_joins_do(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", 7)
     for f, w in zip(names, want):
         assert rows(f(spark, "")) == w, f.__name__
+
+
+def test_parzen_search_beats_chance():
+    space = {"a": (1e-4, 1.0, "log"), "b": (0, 30), "c": ["x", "y", "z"]}
+    score = lambda p: -(np.log10(p["a"]) + 2) ** 2 - ((p["b"] - 20) / 10) ** 2 - (p["c"] != "y")
+    found = learning.L.tpe_search(space, score, 60)
+    assert len(found) == 60 and all(1e-4 <= p["a"] <= 1 and isinstance(p["b"], int) and 0 <= p["b"] <= 30 for p, _ in found)
+    draws = [learning.L.tpe_search(space, score, 5, seed)[0][1] for seed in range(3)]
+    assert found[0][1] > -0.3 and found[0][1] >= max(draws)
+
+
+def test_adjustments_of_tiny_sets():
+    L = learning.L
+    assert [L.adjusted_trees(n, 200) for n in (5, 10, 11)] == [60, 60, 200] and L.adjusted_trees(5, 40) == 40
+    assert [L.adjusted_leaf(n, 5) for n in (3, 9, 10, 29, 30)] == [1, 1, 2, 2, 5] and L.adjusted_leaf(3, 1) == 1
+
+
+def test_more_rows_are_made_where_others_are_near(spark):
+    r = random.Random(9)
+    easy = [(i, 0, Vectors.dense(r.random(), r.random())) for i in range(20)]
+    mixed = [(100 + i, i % 2, Vectors.dense(50 + r.random(), r.random())) for i in range(20)]
+    df = spark.createDataFrame(easy + mixed, ["id", "y", "features"])
+    made = [x.features for x in learning.L.adasyn(df, "id", "y", 0).collect()]
+    assert 20 <= len(made) <= 40 and all(len(f) == 2 for f in made) and sum(f[0] > 20 for f in made) == len(made)
+    assert learning.L.adasyn(df.filter("id < 100"), "id", "y", 0).count() == 0
+
+
+def test_recursive_elimination_keeps_what_tells(spark):
+    r = random.Random(10)
+    df = spark.createDataFrame([(i, i % 2, Vectors.dense(r.random(), i % 2 + r.random() / 9, r.random())) for i in range(120)], ["id", "y", "features"])
+    ranks = dict(learning.L.eliminated_ranks(df, ["a", "b", "c"], 1))
+    assert ranks["b"] == 1 and sorted(ranks.values()) == [1, 2, 3]
+
+
+def test_tuned_model_is_stored_with_its_metadata(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    L, r = learning.L, random.Random(11)
+    df = spark.createDataFrame([(i, i % 2, Vectors.dense(i % 2 + r.random(), r.random())) for i in range(80)], ["id", "y", "features"])
+    best, score = L.tuned_and_retrained(df, "logistic", L.grid({"regParam": [0.01, 0.1]}), ["a", "b"], str(tmp_path / "m"))
+    model, meta = L.load_model(LogisticRegressionModel, str(tmp_path / "m"), spark)
+    assert model.numFeatures == 2 and meta["n_samples"] == 80 and score > 0.9
+    assert L.mismatches(meta, {**meta, "n_samples": 1}) == [] and L.mismatches(meta, {**meta, "mode": "x"}) == ["mode"]

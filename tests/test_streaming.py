@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from darkslide.operators.labels import label_states
 from darkslide.operators.sessions import sessionize
-from darkslide.streaming.labels import stream_label_states
+from darkslide.streaming.labels import SingleFlight, coalesced, debounced, picture_stream, score_stream, scored_so_far, stream_label_states
 from darkslide.streaming.sessions import stream_sessions
 
 
@@ -52,3 +52,56 @@ def test_stream_of_label_changes(spark, tmp_path):
     for r in out:
         last[int(r.path)] = r.state
     assert last == {r.path: r.state for r in label_states(df).collect()}
+
+
+def test_single_flight_runs_one_at_a_time_and_joins_requests():
+    now, slept, flight = [0.0], [], None
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    def run(last):
+        if last is None:  # requests during a run become one more run
+            assert not flight.request() and not flight.request()
+        now[0] += 0.5
+        if last == 1:
+            raise RuntimeError("lost")
+        return (last or 0) + 1
+
+    flight = SingleFlight(run, 1.5, lambda: now[0], sleep)
+    assert flight.request() and (flight.runs, flight.failed, flight.result, slept) == (1, 1, 1, [1.0])
+    flight.run = lambda last: last + 1
+    assert flight.request() and flight.result == 2
+
+
+def test_scoring_stream_can_be_read_and_goes_on(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.1), (2, 0.2)], "id bigint, x double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    go = lambda: score_stream(stream, lambda b: b.select("id", (F.col("x") * 2).alias("p")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    go()
+    spark.createDataFrame([(2, 0.5)], "id bigint, x double").write.mode("append").parquet(str(tmp_path / "in"))
+    go()
+    assert rows(scored_so_far(spark, str(tmp_path / "out"), "id")) == [(1, 0.2), (2, 1.0)]
+
+
+def test_pictures_come_in_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.bin").write_bytes(bytes([i]))
+    out = drain(spark, picture_stream(spark, str(tmp_path / "in"), 2).select("content"), "append", "pictures", tmp_path / "c")
+    assert sorted(bytes(r.content)[0] for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_debounced_and_coalesced(spark, tmp_path):
+    t = datetime(2024, 1, 1, 12)
+    log = [("a", 0.0, "x"), ("a", 0.4, "y"), ("a", 5.0, "z"), ("b", 0.1, "x"), ("end", 99.0, "x")]
+    df = spark.createDataFrame([(k, t + timedelta(seconds=s), v) for k, s, v in log], "k string, ts timestamp, v string")
+    for i, part in enumerate((df.filter("k <> 'end'"), df.filter("k = 'end'"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = drain(spark, debounced(stream, "k", "ts", "v"), "append", "quiet", tmp_path / "c").collect()
+    assert sorted((r.k, r.v, r.n) for r in out) == [("a", "y", 2), ("a", "z", 1), ("b", "x", 1)]
+    out = drain(spark, coalesced(stream, "k", "ts"), "append", "first", tmp_path / "d").collect()
+    assert sorted(r.k for r in out) == ["a", "b", "end"]
