@@ -12,12 +12,17 @@ Equal hashes are one vertex, so copies never meet each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.operators.blocks import bit_distances
 from darkslide.operators.graph import connected_components
 from darkslide.operators.skew import skew_safe_lookup
 
@@ -70,6 +75,51 @@ def hamming_pairs(hashes: DataFrame, threshold: int, exact: bool = True) -> Data
     return met.select("a", "b", distance("a", "b").alias("distance")).distinct()
 
 
+#: Query hashes, at most, that are sent to all tasks at a time.
+QUERIES_AT_ONCE = 50_000
+
+
+def distance_counts(queries: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(query, counts): of each row (query, h) how many rows of ``hashes`` (h) lie at each distance from 0 to 64.
+
+    Queries are a stated set and go through all hashes in blocks of bounded size; every
+    task adds up its own counts. Null hashes are at no distance.
+    """
+    q = queries.filter("query is not null and h is not null").select("query", "h").distinct()
+    blocks = max(1, -(-q.count() // QUERIES_AT_ONCE))
+    found = []
+    for b in range(blocks):
+        rows = q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas().sort_values(["query", "h"])
+        ids, bits = rows["query"].to_numpy(np.int64), rows["h"].to_numpy(np.int64)
+
+        def run(batches: Iterator[pd.DataFrame], ids=ids, bits=bits) -> Iterator[pd.DataFrame]:
+            counts = np.zeros((len(bits), 65), dtype=np.int64)
+            for batch in batches:
+                h = batch["h"].to_numpy(np.int64)
+                for at in range(0, len(bits), 1024):
+                    d = bit_distances(bits[at : at + 1024], h) + np.arange(len(bits[at : at + 1024]))[:, None] * 65
+                    counts[at : at + 1024] += np.bincount(d.ravel(), minlength=65 * len(bits[at : at + 1024])).reshape(-1, 65)
+            yield pd.DataFrame({"query": ids, "counts": list(counts)})
+
+        found.append(hashes.select("h").dropna().mapInPandas(run, "query bigint, counts array<bigint>"))
+    parts = reduce(DataFrame.unionByName, found).groupBy("query").agg(*[F.sum(F.col("counts")[d]).alias(f"d{d}") for d in range(65)])
+    return parts.select("query", F.array(*[f"d{d}" for d in range(65)]).alias("counts"))
+
+
+def counted_statistics(counts: Column) -> dict[str, Column]:
+    """Number, least, greatest, mean, median and deviation of the distances that ``counts`` counts."""
+    d = F.sequence(F.lit(0), F.lit(64))
+    add = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    n, total = add(counts), add(F.zip_with(counts, d, lambda c, k: c * k))
+    squares = add(F.zip_with(counts, d, lambda c, k: c * k * k))
+    mean = total / n
+    # The least distance at or below which there are more than so many.
+    below = lambda rank: F.array_position(F.transform(d, lambda k: add(F.slice(counts, 1, k + 1)) > rank), True) - 1
+    median = (below(F.floor((n - 1) / 2)) + below(F.floor(n / 2))) / 2
+    seen = F.filter(d, lambda k: F.get(counts, k) > 0)
+    return {"n": n, "least": F.array_min(seen), "greatest": F.array_max(seen), "mean": mean, "median": median, "deviation": F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))}
+
+
 def near_duplicate_groups(items: DataFrame, threshold: int = 8, exact: bool = True) -> DataFrame:
     """(item_id, group_root) of ``items`` (item_id, h): root is the smallest item linked by chains of near hashes.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from darkslide.operators.blocks import bit_distances, by_size, forest, in_blocks
 from darkslide.operators.graph import connected_components
-from darkslide.operators.hamming import distance, hamming_pairs, hash_bits, near_duplicate_groups
+from darkslide.operators.hamming import counted_statistics, distance, distance_counts, hamming_pairs, hash_bits, near_duplicate_groups
 from darkslide.operators.photos import clean_camera, current_photos, epoch_us
 from darkslide.operators.sequence import dense_index, gap_ids
 from darkslide.operators.shared import Written
@@ -74,12 +74,27 @@ def a3_group_start(spark, data):
     return shots(spark, data).filter("group_id is not null and group_id <> -1").groupBy("group_id").agg(F.min("us").alias("first_us"))
 
 
+def _query_distances(spark, data):
+    """Distances of the items whose id is divisible by 100 to all items, themselves included."""
+    i = items(spark, data).select("item_id", hash_bits("phash").alias("h"))
+    return distance_counts(i.filter("item_id % 100 = 0").select(F.col("item_id").alias("query"), "h"), i)
+
+
+def j8_distances(spark, data):
+    """Of each item whose id is divisible by 100: number, least, greatest, mean, median and deviation of its distances to all items."""
+    s = counted_statistics(F.col("counts"))
+    return _query_distances(spark, data).select(
+        F.col("query").alias("item_id"), s["n"].alias("n"), s["least"].alias("least"), s["greatest"].alias("greatest"), *[F.round(s[k], 6).alias(k) for k in ("mean", "median", "deviation")])
+
+
 def a20_distance_histogram(spark, data):
-    h = items(spark, data).select(hash_bits("phash").alias("h")).dropna().distinct()
-    return hamming_pairs(h, 12).groupBy("distance").agg(F.count("*").alias("pairs"))
+    """How many of these distances there are of each size."""
+    c = _query_distances(spark, data).select(F.posexplode("counts").alias("distance", "n"))
+    return c.groupBy("distance").agg(F.sum("n").alias("pairs")).filter("pairs > 0")
 
 
 def a21_degrees(spark, data):
+    """The twenty hashes with most others within 12 bits."""
     h = items(spark, data).select(hash_bits("phash").alias("h")).dropna().distinct()
     p = hamming_pairs(h, 12)
     ends = p.select(F.explode(F.array("a", "b")).alias("h"))
@@ -283,7 +298,7 @@ def u4_sets(spark, data):
 
 
 QUERIES = {f.__name__: f for f in (
-    w1_session_ids, w2_burst_ids, w3_burst_ids_as_coded, w4_best_pick, a1_group_size, a2_counts, a3_group_start, a20_distance_histogram, a21_degrees,
+    w1_session_ids, w2_burst_ids, w3_burst_ids_as_coded, w4_best_pick, a1_group_size, a2_counts, a3_group_start, j8_distances, a20_distance_histogram, a21_degrees,
     a26_days, g2_near_duplicates, g2_near_duplicates_lossy, g3_equal_hash_groups, g4_burst_merge, g6_prefix_groups, g7_grouping, g9_wide_groups,
     j9_group_distances, g10_why_separate, j15_shared_bursts, o1_by_uncertainty, o2_by_group, o5_top_groups, o11_sample, o13_range, u4_sets,
 )}
@@ -327,7 +342,9 @@ ORACLE = {
     "a1_group_size": BASE + " select item_id, count(*) over (partition by group_id) as group_size from i where group_id <> -1",
     "a2_counts": BASE + " select count(distinct session_id) as sessions, count(distinct burst_id) as bursts, count(distinct group_id) as groups, count_if(is_group_best)::bigint as best, count(*) as items from i",
     "a3_group_start": BASE + " select group_id, min(us) as first_us from sh where group_id <> -1 group by group_id",
-    "a20_distance_histogram": BASE + _PAIRS.format(bits=12, also="") + " select d::int as distance, count(*) as pairs from pr group by d",
+    "j8_distances": BASE + """ select a.item_id, count(*) as n, min(bit_count(xor(a.h, b.h)))::int as least, max(bit_count(xor(a.h, b.h)))::int as greatest, round(avg(bit_count(xor(a.h, b.h))), 6) as mean,
+ round(median(bit_count(xor(a.h, b.h))::int), 6) as median, round(stddev_pop(bit_count(xor(a.h, b.h))), 6) as deviation from hx a join hx b on a.item_id % 100 = 0 and a.h is not null and b.h is not null group by 1""",
+    "a20_distance_histogram": BASE + " select bit_count(xor(a.h, b.h))::int as distance, count(*) as pairs from hx a join hx b on a.item_id % 100 = 0 and a.h is not null and b.h is not null group by 1",
     "a21_degrees": BASE + _PAIRS.format(bits=12, also="") + """ select case when h >= 9223372036854775808 then (h::hugeint - 18446744073709551616)::bigint else h::bigint end as h, count(*) as degree
 from (select a as h from pr union all select b from pr) group by h order by degree desc, 1 limit 20""",
     "a26_days": BASE + " select (us // 86400000000)::int as day, count(*) as n, count(distinct camera_id) as cameras from ph group by 1 order by n desc, day limit 10",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="darkslide-"), "darkslide.zip")
+    folder = tempfile.mkdtemp(prefix="darkslide-")  # the package only, no data
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "darkslide.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, files in os.walk(here):
             for f in sorted(files):

@@ -48,7 +48,9 @@ def test_first_rows_with_ties(spark):
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(1, 2), (2, 1), (1, 2), (None, 3)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)],
 ])
-def test_components(spark, edges):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, edges, few):
+    monkeypatch.setattr("darkslide.operators.graph.FEW_EDGES", few)
     assert sorted(map(tuple, connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect())) == union_find(edges)
 
 
