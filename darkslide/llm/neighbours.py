@@ -224,12 +224,14 @@ def p7_neighbours(spark: SparkSession, data: str) -> DataFrame:
 
 QUERIES = {"p7_found": p7_found, "p7_neighbours": p7_neighbours}
 
-ORACLE = {
-    "p7_found": """
+_RANKED = """
 with v as (select item_id, max(hist_feat)::double[] as h from preprocess_results where len(hist_feat) in (24, 48) and item_id is not null
     and len(list_filter(hist_feat, lambda x: x is null or isnan(x))) = 0 and len(list_filter(hist_feat, lambda x: x <> 0)) > 0 group by item_id),
 p as (select a.item_id as a, b.item_id as b, row_number() over (partition by a.item_id
     order by case when a.h = b.h then 1 else list_cosine_similarity(a.h, b.h) end desc, b.item_id) as k
-  from v a join v b on a.item_id <> b.item_id and len(a.h) = len(b.h))
-select distinct least(a, b) as item_lo, greatest(a, b) as item_hi from p where k <= 5""",
+  from v a join v b on a.item_id <> b.item_id and len(a.h) = len(b.h))"""
+
+ORACLE = {
+    "p7_found": _RANKED + " select distinct least(a, b) as item_lo, greatest(a, b) as item_hi from p where k <= 5",
+    "p7_neighbours": _RANKED + " select a as item_id, (k - 1)::int as rank, b as other_id from p where k <= 5",
 }

@@ -224,4 +224,9 @@ found as (select distinct e.run_id, e.split_name, least(e.item_id, t.item_id) as
   from m e join m t on e.run_id = t.run_id and e.split_name <> 'train' and t.split_name = 'train'
   where e.item_id = t.item_id or e.group_id = t.group_id or bit_count(xor(e.h, t.h)) <= 8)"""
 
-ORACLE = {"p3_found": _MEMBERS + " select * from found"}
+ORACLE = {
+    "p3_found": _MEMBERS + " select * from found",
+    "p3_report": _MEMBERS + """, hit as (select run_id, split_name, item_lo as item_id from found union select run_id, split_name, item_hi from found),
+al as (select item_id, max(album) as album from image_items group by 1), li as (select distinct run_id, split_name, item_id from m where split_name <> 'train')
+select run_id, split_name, album, count(*) as n_items, count(hit.item_id) as n_overlapping from li left join hit using (run_id, split_name, item_id) join al using (item_id) group by 1, 2, 3""",
+}
