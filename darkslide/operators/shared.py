@@ -14,7 +14,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _own_folder: str | None = None
 _folders: set[str] = set()
@@ -56,14 +56,16 @@ class Written:
     """
 
     def __init__(self, df: DataFrame, label: str, **stats: Column):
-        """``stats``: aggregates of the rows by name, which the write itself finds; ``self.stats`` has them, null or missing if there are no rows."""
+        """``stats``: aggregates of the rows by name; ``self.stats`` has them.
+
+        They are read from the table, in one job; one that observes the write would do
+        without, but leaves the session in a state that models' functions cannot be sent with.
+        """
         spark = df.sparkSession
         self._spark, self.path = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        seen = Observation() if stats else None
-        observed = df.observe(seen, *[c.alias(n) for n, c in stats.items()]) if seen else df
-        observed.write.parquet(self.path)
-        self.stats = seen.get if seen else {}
+        df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        self.stats = self.df.agg(*[c.alias(n) for n, c in stats.items()]).first().asDict() if stats else {}
 
     def drop(self) -> None:
         _delete(self._spark, self.path)
