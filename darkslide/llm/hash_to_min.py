@@ -29,20 +29,22 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     e = edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).dropna().filter("u <> v")
     pairs = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v")))
-    now = Written(e.select(pairs.alias("p")).select(F.col("p.u").alias("v"), F.col("p.v").alias("u")).distinct(), "clusters", **_marks())
+    now = Written(e.select(pairs.alias("p")).select(F.col("p.u").alias("v"), F.col("p.v").alias("u")).distinct(), "clusters", rows=F.count("*"))
     for _ in range(max_rounds):
         least = now.df.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
         told = skew_safe_lookup(now.df, "v", least, ["m"], "n", largest=now.stats["rows"])
         sent = F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
-        then = Written(told.select(sent.alias("p")).select("p.v", "p.u").distinct(), "clusters", **_marks())
+        then = Written(told.select(sent.alias("p")).select("p.v", "p.u").distinct(), "clusters", rows=F.count("*"))
+        # Tables of different lengths differ; only those of equal length are read for comparison.
+        stable = then.stats == now.stats and _marks(then.df) == _marks(now.df)
         now.drop()
-        now, before = then, now.stats
-        if now.stats == before:
+        now = then
+        if stable:
             return now.df.filter("v <= u").select(F.col("u").alias("item"), F.col("v").alias("root"))
     raise RuntimeError(f"no stable clusters after {max_rounds} rounds")
 
 
-def _marks() -> dict:
-    """Count and order-free checksums of the clusters, by which two rounds are compared."""
+def _marks(clusters: DataFrame) -> tuple:
+    """Order-free checksums of the clusters, by which two rounds of equal length are compared."""
     h = F.xxhash64("v", "u")
-    return {"rows": F.count("*"), "mix": F.bit_xor(h), "sum": F.sum(F.shiftrightunsigned(h, 40))}
+    return tuple(clusters.agg(F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 40))).first())
