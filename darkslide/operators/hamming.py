@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from darkslide.operators.blocks import bit_distances
 from darkslide.operators.graph import connected_components
+from darkslide.operators.shared import Written
 from darkslide.operators.skew import skew_safe_lookup
 
 VALID = "^[0-9A-Fa-f]{16}$"
@@ -123,10 +124,11 @@ def counted_statistics(counts: Column) -> dict[str, Column]:
 def near_duplicate_groups(items: DataFrame, threshold: int = 8, exact: bool = True) -> DataFrame:
     """(item_id, group_root) of ``items`` (item_id, h): root is the smallest item linked by chains of near hashes.
 
-    Items without a hash are groups of their own, as are items near no other.
+    Items without a hash are groups of their own, as are items near no other. The result
+    reads tables in the shared folder.
     """
     i = items.select("item_id", "h").filter("item_id is not null").distinct()
-    named = i.filter("h is not null").groupBy("h").agg(F.min("item_id").alias("first"), F.count("*").alias("n"))
+    named = Written(i.filter("h is not null").groupBy("h").agg(F.min("item_id").alias("first"), F.count("*").alias("n")), "hashes").df
     pairs = hamming_pairs(named.select("h"), threshold, exact)
     a, b = named.select(F.col("h").alias("a"), F.col("first").alias("u")), named.select(F.col("h").alias("b"), F.col("first").alias("v"))
     roots = connected_components(pairs.join(a, "a").join(b, "b").select("u", "v")).select(F.col("item").alias("first"), "root")
