@@ -331,17 +331,31 @@ def best_temperature(scored: DataFrame, options: tuple[float, ...] = (0.1, 0.2,
     return options[int(np.argmin([v if v is not None else np.inf for v in found]))]
 
 
-def blended(parts: list[DataFrame], steps: int = 10) -> tuple[list[float], DataFrame]:
-    """Weights, in tenths, of the mixture of two or three scorings (id, y, p) with the least log-loss, and the mixture."""
+def blended(parts: list[DataFrame], steps: int = 12, rate: float = 2.0) -> tuple[list[float], DataFrame]:
+    """Weights, none negative and of sum one, of the mixture of scorings (id, y, p) with the least log-loss, and the mixture.
+
+    Exponentiated gradient steps on the driver, each with one pass that adds up loss and
+    gradient; the best weights of all steps count.
+    """
     j = parts[0].select("id", "y", F.col("p").alias("p0"))
     for i, part in enumerate(parts[1:], 1):
         j = j.join(part.select("id", F.col("p").alias(f"p{i}")), "id")
-    weights = [w for w in product(range(steps + 1), repeat=len(parts)) if sum(w) == steps]
-    mixed = [sum((F.col(f"p{i}") * (w / steps) for i, w in enumerate(ws)), F.lit(0.0)) for ws in weights]
-    safe = [F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), m)) for m in mixed]
-    losses = j.agg(*[F.avg(-(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias(f"w{i}") for i, q in enumerate(safe)]).first()
-    at = int(np.argmin(losses))
-    return [w / steps for w in weights[at]], j.select("id", "y", mixed[at].alias("p"))
+    j = Written(j, "blended").df
+    mix = lambda w: sum((F.col(f"p{i}") * float(x) for i, x in enumerate(w)), F.lit(0.0))
+    w, best = np.full(len(parts), 1 / len(parts)), (np.inf, None)
+    for _ in range(steps):
+        q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), mix(w)))
+        slope = (1 - F.col("y")) / (1 - q) - F.col("y") / q
+        found = j.agg(F.avg(-(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias("loss"), *[F.avg(slope * F.col(f"p{i}")).alias(f"g{i}") for i in range(len(parts))]).first()
+        if found["loss"] is None:  # no rows
+            best = (0.0, w)
+            break
+        if found["loss"] < best[0]:
+            best = (found["loss"], w)
+        g = np.array([found[f"g{i}"] for i in range(len(parts))])
+        w = w * np.exp(-rate * (g - g.min()))
+        w = w / w.sum()
+    return list(map(float, best[1])), j.select("id", "y", mix(best[1]).alias("p"))
 
 
 def stacked(train: list[DataFrame], test: list[DataFrame]) -> DataFrame:

@@ -136,7 +136,10 @@ def j1_photo_rows(spark, data):
 
 
 def j3_probabilities(spark, data):
-    return items(spark, data).select("item_id", F.coalesce(F.when(~F.isnan("pick_score"), F.col("pick_score")), F.lit(0.5)).alias("p"))
+    """Every photo with its item's probability, 0.5 where there is none."""
+    p = items(spark, data).filter("filename is not null").select("filename", "item_id", F.when(~F.isnan("pick_score"), F.col("pick_score")).alias("p"))
+    names = table(spark, data, "photo_metadata").filter("filename is not null").select("filename").distinct()
+    return names.join(p, "filename", "left").select("filename", "item_id", F.coalesce("p", F.lit(0.5)).alias("p"))
 
 
 def j11_class_flags(spark, data):
@@ -256,7 +259,8 @@ from (select item_id, unnest(list_distinct(objects)) as c from i) group by c""",
     "j1_photo_rows": BASE + f""" select item_id, i.filename, exif['Model'] as model, {_number('ISOSpeedRatings')} as iso, coalesce(rating, 0) as rating, coalesce(len(tags), 0)::int as n_tags,
  lower(trim(coalesce(label, ''))) as state, coalesce(list_sort(list_distinct(list_filter(objects, lambda o: o is not null))), []) as objects,
  coalesce(case when isnan(pick_score) then null else pick_score end, 0.5) as p, camera_id, us from i left join ph using (filename)""",
-    "j3_probabilities": I + " select item_id, coalesce(case when isnan(pick_score) then null else pick_score end, 0.5) as p from i",
+    "j3_probabilities": I + """ select n.filename, item_id, coalesce(case when isnan(pick_score) then null else pick_score end, 0.5) as p
+from (select distinct filename from photo_metadata where filename is not null) n left join i using (filename)""",
     "j11_class_flags": I + " select item_id, " + ", ".join(f"coalesce(list_contains(objects, '{c}'), false)::int as {c}" for c in ("person", "car", "bird", "bench", "dog", "cat", "bicycle", "boat")) + " from i",
     "j11_all_class_flags": I + " select item_id, " + ", ".join(f"coalesce(list_contains(list_transform(objects, lambda c: lower(c)), '{c}'), false)::int as \"{c.replace(' ', '_')}\"" for c in CLASSES)
     + f", coalesce(list_sort(list_distinct(list_filter(list_transform(objects, lambda c: lower(c)), lambda c: c is not null and c not in {CLASSES}))), []) as others from i",

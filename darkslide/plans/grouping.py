@@ -106,6 +106,20 @@ def a26_days(spark, data):
     return photos(spark, data).groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.countDistinct("camera_id").alias("cameras")).orderBy(F.desc("n"), "day").limit(10)
 
 
+def a26_sessions_nested(spark, data):
+    """Each session with its first day, photos, bursts and photos of its largest burst."""
+    p = Written(gap_ids(photos(spark, data), "camera_id", "us", "filename", SESSION_US, "session_id"), "sessions").df
+    p = gap_ids(p, "camera_id", "us", "filename", BURST_US, "burst_id")
+    bursts = p.groupBy("session_id", "burst_id").agg(F.count("*").alias("n"), F.min("us").alias("us"))
+    return bursts.groupBy("session_id").agg(F.expr("cast(min(us) div 86400000000 as int)").alias("day"), F.sum("n").alias("photos"), F.count("*").alias("bursts"), F.max("n").alias("largest"))
+
+
+def g8_network_degrees(spark, data):
+    """Of each item whose id is divisible by 100: how many other items lie within 30 bits."""
+    near = F.aggregate(F.slice("counts", 1, MERGE_BITS + 1), F.lit(0).cast("bigint"), lambda a, n: a + n) - 1
+    return _query_distances(spark, data).select(F.col("query").alias("item_id"), near.alias("degree"))
+
+
 def g2_near_duplicates(spark, data):
     return near_duplicate_groups(items(spark, data).select("item_id", hash_bits("phash").alias("h")), NEAR_BITS)
 
@@ -299,7 +313,7 @@ def u4_sets(spark, data):
 
 QUERIES = {f.__name__: f for f in (
     w1_session_ids, w2_burst_ids, w3_burst_ids_as_coded, w4_best_pick, a1_group_size, a2_counts, a3_group_start, j8_distances, a20_distance_histogram, a21_degrees,
-    a26_days, g2_near_duplicates, g2_near_duplicates_lossy, g3_equal_hash_groups, g4_burst_merge, g6_prefix_groups, g7_grouping, g9_wide_groups,
+    a26_days, a26_sessions_nested, g8_network_degrees, g2_near_duplicates, g2_near_duplicates_lossy, g3_equal_hash_groups, g4_burst_merge, g6_prefix_groups, g7_grouping, g9_wide_groups,
     j9_group_distances, g10_why_separate, j15_shared_bursts, o1_by_uncertainty, o2_by_group, o5_top_groups, o11_sample, o13_range, u4_sets,
 )}
 
@@ -348,6 +362,12 @@ ORACLE = {
     "a21_degrees": BASE + _PAIRS.format(bits=12, also="") + """ select case when h >= 9223372036854775808 then (h::hugeint - 18446744073709551616)::bigint else h::bigint end as h, count(*) as degree
 from (select a as h from pr union all select b from pr) group by h order by degree desc, 1 limit 20""",
     "a26_days": BASE + " select (us // 86400000000)::int as day, count(*) as n, count(distinct camera_id) as cameras from ph group by 1 order by n desc, day limit 10",
+    "a26_sessions_nested": BASE + """, r as (select us, filename, camera_id, case when lag(camera_id) over w is distinct from camera_id or us - lag(us) over w > 600000000 then 1 else 0 end as so,
+  case when lag(camera_id) over w is distinct from camera_id or us - lag(us) over w > 15000000 then 1 else 0 end as bo, row_number() over w as pos from ph window w as (order by camera_id, us, filename)),
+n as (select us, (sum(so) over (order by pos) - 1)::bigint as session_id, sum(bo) over (order by pos) as b from r),
+g as (select session_id, b, count(*) as n, min(us) as us from n group by 1, 2)
+select session_id, (min(us) // 86400000000)::int as day, sum(n)::bigint as photos, count(*) as bursts, max(n) as largest from g group by 1""",
+    "g8_network_degrees": BASE + " select a.item_id, count_if(bit_count(xor(a.h, b.h)) <= 30)::bigint - 1 as degree from hx a join hx b on a.item_id % 100 = 0 and a.h is not null and b.h is not null group by 1",
     "g2_near_duplicates": BASE + _NEAR.format(bits=8, also="") + " select item_id, group_root from gr",
     "g2_near_duplicates_lossy": BASE + _NEAR.format(bits=8, also=_LOSSY) + " select item_id, group_root from gr",
     "g3_equal_hash_groups": BASE + " select item_id, coalesce(min(case when h is not null then item_id end) over (partition by h), item_id) as group_root from hx",

@@ -40,7 +40,7 @@ def _scaled(spark, data) -> tuple[DataFrame, DataFrame]:
     x = everything.filter("known").join(_labelled(spark, data), "id")
     x = Written(x.select("id", "y", "raw"), "dataset").df
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x)
-    return scaler.transform(x).select("id", "y", "features"), scaler.transform(everything).select("id", "features")
+    return scaler.transform(x).select("id", "y", "features"), scaler.transform(everything).select("id", "known", "features")
 
 
 def dataset(spark, data) -> DataFrame:
@@ -116,10 +116,11 @@ def m10_importances(spark, data):
 
 
 def m11_m30_calibrated(spark, data):
-    """Brier score and log-loss of raw, logistic, isotonic and tempered scores on the test part."""
-    train, test = _split(spark, data)
-    model = L.MODELS["forest"]().fit(train)
-    base, s = Written(L.scores(model, train), "scored").df, Written(L.scores(model, test), "scored").df
+    """Brier score and log-loss on the test part (20 %) of raw, logistic, isotonic and tempered scores, fitted on 70 % and calibrated on 10 %."""
+    r = Written(L.stratified_split(dataset(spark, data), "id", "y", {"train": 0.7, "val": 0.1, "test": 0.2}), "split").df
+    part = lambda name: r.filter(F.col("split") == name).drop("split")
+    model = L.MODELS["forest"]().fit(part("train"))
+    base, s = Written(L.scores(model, part("val")), "scored").df, Written(L.scores(model, part("test")), "scored").df
     slope, offset = L.platt(base)
     kinds = {"raw": s, "platt": s.withColumn("p", L.with_platt(F.col("p"), slope, offset)), "isotonic": L.with_isotonic(base, s),
              "temperature": s.withColumn("p", L.with_temperature(F.col("p"), L.best_temperature(base)))}
@@ -131,10 +132,11 @@ def m11_m30_calibrated(spark, data):
 
 
 def m12_predictions(spark, data):
-    """Every item, labelled or not, with its probability by a model of the labelled ones."""
+    """Every item, labelled or not, with its probability by a model of the labelled ones; NaN where there is no vector to go by."""
     known, everything = _scaled(spark, data)
     model = L.MODELS["logistic"]().fit(known)
-    return L.scores(model, everything.withColumn("y", F.lit(None).cast("int"))).select("id", F.round("p", 6).alias("p"))
+    p = L.scores(model, everything.filter("known").withColumn("y", F.lit(None).cast("int"))).select("id", F.round("p", 6).alias("p"))
+    return p.unionByName(everything.filter("not known").select("id", F.lit(float("nan")).alias("p")))
 
 
 def m16_random_search(spark, data):
@@ -253,6 +255,30 @@ def m38_tuned(spark, data):
     return _table(spark, [(best["regParam"], score, meta["feature_count"], meta["n_samples"], meta["mode"])], "reg double, roc_auc double, features int, rows bigint, kind string")
 
 
+def m25_leave_one_out(spark, data):
+    """What each feature adds to the area under the curve: the model of all less that without it, on the test part."""
+    train, test = _split(spark, data)
+
+    def area(drop: set) -> float:
+        model = L.MODELS["logistic"](maxIter=20).fit(L.without(train, drop, len(NAMES)))
+        return float(L.one(ev.roc_auc(L.scores(model, L.without(test, drop, len(NAMES)))))["roc_auc"])
+
+    whole = area(set())
+    return _table(spark, [(n, whole - area({i})) for i, n in enumerate(NAMES)], "feature string, gain double")
+
+
+def m29_benchmark(spark, data):
+    """All metrics of a model and of another on the same test part, and by how much the second is better."""
+    train, test = _split(spark, data)
+    base, new = (L.measured(Written(L.scores(L.MODELS[k]().fit(train), test), "scored").df, threshold=0.5) for k in ("logistic", "forest"))
+    worse = {"brier", "log_loss", "keep_loss", "junk_leak"}
+    out = []
+    for k in ("accuracy", "precision", "recall", "f1", "keep_loss", "junk_leak", "roc_auc", "pr_auc", "brier", "log_loss"):
+        a, b = float(base[k]), float(new[k])
+        out.append((k, a, b, ((a - b) if k in worse else (b - a)) / a * 100 if a > 0 else 0.0))
+    return _table(spark, out, "metric string, baseline double, value double, improvement_pct double")
+
+
 def m27_elimination(spark, data):
     found = L.eliminated(dataset(spark, data), NAMES)
     return _table(spark, found, "round int, features int, accuracy double")
@@ -292,7 +318,7 @@ def m26_m35_with_and_without(spark, data):
 QUERIES = {f.__name__: f for f in (
     m2_gate, m3_split, m4_folds, m4_grouped_folds, m5_cross_validation, m6_m9_fit, m7_early_stopping, m10_importances, m11_m30_calibrated, m12_predictions,
     m16_random_search, m18_sweep, m19_coordinate_search, m20_ensembles, m21_algorithms, m22_undersampled, m22_weights, m22_oversampled,
-    m17_parzen_search, m22_adasyn, m23_mutual_information, m23_recursive_elimination, m36_improvements, m37_one_dimension, m38_tuned, m23_permuted_importance, m25_ablation, m26_m35_with_and_without, m27_elimination,
+    m25_leave_one_out, m29_benchmark, m17_parzen_search, m22_adasyn, m23_mutual_information, m23_recursive_elimination, m36_improvements, m37_one_dimension, m38_tuned, m23_permuted_importance, m25_ablation, m26_m35_with_and_without, m27_elimination,
 )}
 
 R = """with i as (select distinct on (item_id) * from image_items), l as (select item_id as id, album, case lower(trim(label)) when 'keep' then 1 when 'trash' then 0 end as y from i),

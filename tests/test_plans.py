@@ -118,3 +118,16 @@ def test_tuned_model_is_stored_with_its_metadata(spark, tmp_path):
     model, meta = L.load_model(LogisticRegressionModel, str(tmp_path / "m"), spark)
     assert model.numFeatures == 2 and meta["n_samples"] == 80 and score > 0.9
     assert L.mismatches(meta, {**meta, "n_samples": 1}) == [] and L.mismatches(meta, {**meta, "mode": "x"}) == ["mode"]
+
+
+def test_blend_has_the_least_loss(spark):
+    r, L = random.Random(12), learning.L
+    y = [int(r.random() < 0.5) for _ in range(400)]
+    clip = lambda v: min(0.99, max(0.01, v))
+    ps = [[clip(t * 0.6 + r.random() * 0.4) for t in y], [clip(r.random()) for _ in y], [clip(0.5 + (t - 0.5) * r.random()) for t in y]]
+    parts = [spark.createDataFrame(list(zip(range(400), y, p)), "id bigint, y int, p double") for p in ps]
+    weights, mixed = L.blended(parts, steps=25)
+    loss = lambda w: float(np.mean([-np.log(q if t else 1 - q) for t, *p in zip(y, *ps) for q in [sum(a * b for a, b in zip(w, p))]]))
+    grid = min(loss((a / 10, b / 10, (10 - a - b) / 10)) for a in range(11) for b in range(11 - a))
+    assert abs(sum(weights) - 1) < 1e-9 and min(weights) >= 0 and loss(weights) <= grid + 5e-3
+    assert mixed.count() == 400
