@@ -51,3 +51,23 @@ def test_plan_of_wide_distances_stays_small(spark):
     assert len(pairs._jdf.queryExecution().toString()) < 20_000
     got = {(x.a, x.b) for x in pairs.collect()}
     assert {(min(p), max(p)) for p in zip(made, near)} <= got
+
+
+def test_merged_bursts_take_no_join_of_keys(spark, monkeypatch):
+    """Near hashes of many items were met by a join on hundreds of keys a hash; now a hash comes once for each block."""
+    from pyspark.sql import functions as F
+
+    from darkslide.plans import grouping
+
+    r = random.Random(2)
+    seeds = [r.getrandbits(64) for _ in range(20_000)]
+    hashes = seeds + [h ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for h in seeds[:2_000]] + [h ^ (2**28 - 1) for h in seeds[2_000:2_500]]
+    made = [(i, f"{h:016x}", i % 20_000 if i >= 22_000 or 2_000 <= i < 2_500 else -1) for i, h in enumerate(hashes)]
+    made = [(i, h, i - 20_000 if i >= 22_000 else b) for i, h, b in made]
+    df = spark.createDataFrame(made, "item_id bigint, phash string, burst_id bigint")
+    monkeypatch.setattr(grouping, "items", lambda *_: df)
+    plan = hamming.hamming_pairs(df.select(hamming.hash_bits("phash").alias("h")), 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    got = {x.item_id: x.group_root for x in grouping.g4_burst_merge(spark, "").select("item_id", F.col("group_root")).collect()}
+    # Copies within two bits follow their first; those within 28 bits do so by their burst.
+    assert got == {i: i - 20_000 if i >= 20_000 else i for i in range(len(made))}
