@@ -15,6 +15,7 @@ from darkslide.operators import labels as lab
 from darkslide.operators.evaluation import classify
 from darkslide.operators.graph import connected_components
 from darkslide.operators.hamming import hamming_pairs, hash_bits
+from darkslide.operators.shared import Written
 from darkslide.operators.skew import skew_safe_lookup
 from darkslide.plans.grouping import items
 from darkslide.sources.tables import table
@@ -195,7 +196,7 @@ def u5_labels_with_pending(spark, data):
 def g5_first_match_groups(spark, data):
     """Items in id order join the group of the first earlier hash within five bits: pointers to earlier hashes, then their roots."""
     i = items(spark, data).select("item_id", hash_bits("phash").alias("h")).filter("h is not null")
-    first = i.groupBy("h").agg(F.min("item_id").alias("at"), F.count("*").alias("n"))
+    first = Written(i.groupBy("h").agg(F.min("item_id").alias("at"), F.count("*").alias("n")), "hashes").df
     p = hamming_pairs(first.select("h"), 5)
     both = p.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
     near = both.join(first.select(F.col("h").alias("a"), F.col("at").alias("u")), "a").join(first.select(F.col("h").alias("b"), F.col("at").alias("v")), "b")

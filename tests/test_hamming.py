@@ -71,3 +71,24 @@ def test_merged_bursts_take_no_join_of_keys(spark, monkeypatch):
     got = {x.item_id: x.group_root for x in grouping.g4_burst_merge(spark, "").select("item_id", F.col("group_root")).collect()}
     # Copies within two bits follow their first; those within 28 bits do so by their burst.
     assert got == {i: i - 20_000 if i >= 20_000 else i for i in range(len(made))}
+
+
+def test_first_match_groups_take_no_join_of_keys(spark, monkeypatch):
+    from darkslide.plans import objects
+
+    r = random.Random(3)
+    made = [(i, r.getrandbits(64)) for i in range(300)]
+    made += [(300 + i, r.choice(made[: 300 + i])[1] ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 6)))) for i in range(300)]
+    ids = r.sample(range(600), 600)
+    made = sorted((i, h) for i, (_, h) in zip(ids, made))
+    df = spark.createDataFrame([(i, f"{h:016x}") for i, h in made] + [(900, None), (901, "no hash")], "item_id bigint, phash string")
+    monkeypatch.setattr(objects, "items", lambda *_: df)
+    plans, pairs = [], objects.hamming_pairs
+    monkeypatch.setattr(objects, "hamming_pairs", lambda *a: plans.append(pairs(*a)) or plans[-1])
+    root = {}
+    for i, h in made:
+        first = next((j for j, k in made if j < i and (h ^ k).bit_count() <= 5), None)
+        same = next((j for j, k in made if j < i and h == k), None)
+        root[i] = root[same if same is not None else first] if first is not None else i
+    assert {x.item_id: x.group_root for x in objects.g5_first_match_groups(spark, "").collect()} == root
+    assert "Join" not in plans[0]._jdf.queryExecution().executedPlan().toString()
