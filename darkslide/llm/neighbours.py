@@ -34,6 +34,8 @@ SAMPLE = 20_000
 #: Relaxation of the triangle inequality; 1 is exact. At 2.5 about 99 % of the true neighbours are found (README).
 FACTOR = 2.5
 LEAF = 1024
+#: Vectors that are searched for, or told where to go, at a time; each takes some bytes for each vector of a leaf, or for each shard.
+AT_ONCE = 4096
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,19 +60,21 @@ def _decode(vectors, dim: int) -> np.ndarray:
 
 
 class Shard:
-    """Vectors with their ids, their tree, and what they found at home."""
+    """Vectors with their ids and their tree; ``own``, which does not travel with it, is what they found at home."""
 
     def __init__(self, raw: np.ndarray, ids: list[list[int]], k: int, factor: float):
         self.ids = [list(map(int, i)) for i in ids]
         self.tree = VPTree(raw, np.array([i[0] for i in self.ids], dtype=np.int64), LEAF)
-        self.raw, x = raw, unit(raw)
-        self.near, reach = [], []
-        for at in range(0, len(x), 20_000):
-            own = np.arange(at, min(at + 20_000, len(x)))
+        x, near, reach = unit(raw), [], []
+        for at in range(0, len(x), AT_ONCE):
+            own = np.arange(at, min(at + AT_ONCE, len(x)))
             places, sims = self.tree.search(x[own], k, factor, own=own)
-            self.near += self.items(places, sims, k)
+            near += self.items(places, sims, k)
             reach.append(np.sqrt(np.maximum(2 - 2 * np.where(places[:, -1] >= 0, sims[:, -1], -1.0), 0)))
-        self.reach = np.concatenate(reach)
+        self.own = raw, self.ids, np.concatenate(reach), near
+
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "tree": self.tree}
 
     def items(self, places: np.ndarray, sims: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
         """Per query (-similarity, item) of the k nearest items among the nearest vectors."""
@@ -145,33 +149,43 @@ def nearest(vectors: DataFrame, k: int = 5, factor: float = FACTOR, shard: int =
                 to = routers[size // 4].home(x, g["ids"].map(lambda i: i[0]).to_numpy(np.int64))
                 yield g.assign(dim=np.int32(size // 4), shard=to)[["dim", "shard", "vec", "ids"]]
 
+    def away(own: tuple, dim: int, here: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, shard) of all visits to other shards. They are many times the vectors, so they are found where they are needed, and never kept."""
+        raw, _, reach, _ = own
+        for at in range(0, len(raw), AT_ONCE // 4):
+            part = slice(at, at + AT_ONCE // 4)
+            row, to = routers[dim].visits(unit(raw[part]), reach[part], factor)
+            yield at + row[to != here], to[to != here]
+
     def settle(f: pd.DataFrame) -> pd.DataFrame:
         dim, here = int(f["dim"].iloc[0]), int(f["shard"].iloc[0])
         f = f.assign(cid=f["ids"].map(lambda i: i[0])).sort_values("cid")
         s = Shard(_decode(f["vec"], dim), [list(i[: k + 1]) for i in f["ids"]], k, factor)
-        row, to = routers[dim].visits(unit(s.raw), s.reach, factor)
-        s.row, s.to = row[to != here], to[to != here]
-        shards, counts = np.unique(s.to, return_counts=True)
+        counts = np.zeros(int(routers[dim].base[-1]), np.int64)
+        for _, to in away(s.own, dim, here):
+            counts += np.bincount(to, minlength=len(counts))
         full = int((f["ids"].map(len) > k + 1).sum())
-        return pd.DataFrame({"dim": [dim], "shard": [here], "full": [full], "visits": [[{"shard": int(a), "n": int(n)} for a, n in zip(shards, counts)]], "data": [pickle.dumps(s, protocol=5)]})
+        told = [{"shard": int(a), "n": int(counts[a])} for a in np.flatnonzero(counts)]
+        return pd.DataFrame({"dim": [dim], "shard": [here], "full": [full], "visits": [told], "data": [pickle.dumps(s, protocol=5)], "own": [pickle.dumps(s.own, protocol=5)]})
 
     placed = classes.mapInPandas(assign, "dim int, shard bigint, vec binary, ids array<bigint>").groupBy("dim", "shard")
-    held = Written(placed.applyInPandas(settle, "dim int, shard bigint, full bigint, visits array<struct<shard: bigint, n: bigint>>, data binary"), "shards").df
+    held = Written(placed.applyInPandas(settle, "dim int, shard bigint, full bigint, visits array<struct<shard: bigint, n: bigint>>, data binary, own binary"), "shards").df
 
     def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for dim, data in zip(b["dim"], b["data"]):
-                s = pickle.loads(data)
-                for at in range(0, len(s.row), 10_000):
-                    row = s.row[at : at + 10_000]
-                    yield pd.DataFrame({"dim": np.int32(dim), "shard": s.to[at : at + 10_000], "cid": [s.ids[r][0] for r in row], "vec": [s.raw[r].tobytes() for r in row], "reach": s.reach[row]})
+            for dim, here, data in zip(b["dim"], b["shard"], b["own"]):
+                raw, ids, reach, _ = own = pickle.loads(data)
+                for rows, to in away(own, dim, here):
+                    for at in range(0, len(rows), 10_000):
+                        row = rows[at : at + 10_000]
+                        yield pd.DataFrame({"dim": np.int32(dim), "shard": to[at : at + 10_000], "cid": [ids[r][0] for r in row], "vec": [raw[r].tobytes() for r in row], "reach": reach[row]})
 
     def search(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(queries) and len(shard):
             s = pickle.loads(shard["data"].iloc[0])
-            for at in range(0, len(queries), 20_000):
-                part = queries.iloc[at : at + 20_000]
+            for at in range(0, len(queries), AT_ONCE):
+                part = queries.iloc[at : at + AT_ONCE]
                 x = unit(np.frombuffer(b"".join(part["vec"]), dtype=np.float32).reshape(len(part), -1))
                 places, sims = s.tree.search(x, k, factor, within=part["reach"].to_numpy())
                 for cid, near in zip(part["cid"], s.items(places, sims, k)):
@@ -180,22 +194,22 @@ def nearest(vectors: DataFrame, k: int = 5, factor: float = FACTOR, shard: int =
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for data in b["data"]:
-                s = pickle.loads(data)
-                for at in range(0, len(s.ids), 10_000):
-                    near = [[{"far": d, "id": i} for d, i in n] for n in s.near[at : at + 10_000]]
-                    yield pd.DataFrame({"cid": [i[0] for i in s.ids[at : at + 10_000]], "ids": s.ids[at : at + 10_000], "near": near})
+            for data in b["own"]:
+                _, ids, _, found = pickle.loads(data)
+                for at in range(0, len(ids), 10_000):
+                    near = [[{"far": d, "id": i} for d, i in n] for n in found[at : at + 10_000]]
+                    yield pd.DataFrame({"cid": [i[0] for i in ids[at : at + 10_000]], "ids": ids[at : at + 10_000], "near": near})
 
     # One row a shard; a shard with more visits than a block holds is copied to several.
     blocks = held.select("dim", F.explode("visits").alias("v")).groupBy("dim", "v.shard").agg(F.ceil(F.sum("v.n") / QUERIES_AT_ONCE).alias("blocks"))
-    visits = held.select("dim", "data").mapInPandas(leave, "dim int, shard bigint, cid bigint, vec binary, reach double")
+    visits = held.select("dim", "shard", "own").mapInPandas(leave, "dim int, shard bigint, cid bigint, vec binary, reach double")
     visits = visits.join(F.broadcast(blocks), ["dim", "shard"]).select("dim", "shard", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), "cid", "vec", "reach")
     index = held.join(blocks, ["dim", "shard"]).select("dim", "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "data")
     index = index.select(*[F.col(c).alias(c) for c in index.columns])  # columns of their own
     keys = ["dim", "shard", "block"]
     crossed = index.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(search, "cid bigint, far double, id bigint")
     crossed = crossed.groupBy("cid").agg(F.collect_list(F.struct("far", "id")).alias("more"))
-    home = held.select("data").mapInPandas(tell, "cid bigint, ids array<bigint>, near array<struct<far: double, id: bigint>>")
+    home = held.select("own").mapInPandas(tell, "cid bigint, ids array<bigint>, near array<struct<far: double, id: bigint>>")
     others = F.transform(F.slice(F.sort_array(F.concat("near", F.coalesce("more", F.array().cast("array<struct<far: double, id: bigint>>")))), 1, k), lambda x: x["id"])
     told = home.join(crossed, "cid", "left").select("ids", others.alias("others")).select(F.explode("ids").alias("item_id"), "ids", "others")
     # Items of one vector come first to each other.

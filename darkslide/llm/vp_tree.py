@@ -98,21 +98,27 @@ class Router:
 
     def visits(self, x: np.ndarray, r: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, shard) pairs of all shards that may hold something within r / factor."""
-        reach = r / factor + 1e-6
-        row, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-        for _ in range(self.depth):
-            d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x[row], self.points[node]), 0))
-            inside, outside = d - reach[row] <= self.medians[node], d + reach[row] > self.medians[node]
-            row, node = np.r_[row[inside], row[outside]], np.r_[2 * node[inside] + 1, 2 * node[outside] + 2]
-        leaf, base = node - self.first_leaf, self.base
-        plain = ~np.isin(leaf, list(self.inner))
-        times = self.parts[leaf[plain]]
-        rows = [np.repeat(row[plain], times)]
-        shards = [np.repeat(base[leaf[plain]] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-        for i, router in self.inner.items():
-            at = row[leaf == i]
-            a, b = router.visits(x[at], r[at], factor)
-            rows, shards = [*rows, at[a]], [*shards, base[i] + b]
+        reach, base = r / factor + 1e-6, self.base
+        rows, shards = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def visit(node: int, row: np.ndarray) -> None:
+            """Node by node, as all pairs of a vector and a node at once would take their number times the length of a vector."""
+            leaf = node - self.first_leaf
+            if not len(row):
+                return
+            if leaf in self.inner:
+                a, b = self.inner[leaf].visits(x[row], r[row], factor)
+                rows.append(row[a])
+                shards.append(base[leaf] + b)
+            elif leaf >= 0:
+                rows.extend([row] * self.parts[leaf])
+                shards.extend(np.full(len(row), base[leaf] + part) for part in range(self.parts[leaf]))
+            else:
+                d = distances(x[row], self.points[node])
+                visit(2 * node + 1, row[d - reach[row] <= self.medians[node]])
+                visit(2 * node + 2, row[d + reach[row] > self.medians[node]])
+
+        visit(0, np.arange(len(x)))
         return np.concatenate(rows), np.concatenate(shards)
 
 

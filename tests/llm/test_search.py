@@ -152,3 +152,26 @@ def test_recall_at_the_factor_in_use(spark):
     s = x @ x.T
     np.fill_diagonal(s, -2)
     assert np.mean([len(got[i] & set(np.argsort(-s[i])[:5].tolist())) / 5 for i in rows]) >= 0.9
+
+
+def test_visits_take_memory_by_their_number_only():
+    """All pairs of a vector and a node, each with a vector of its own, were held at once; now one node's vectors are."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    x = unit(r.random((4096, 48)))
+    router = Router(unit(r.random((5000, 48))), 256)
+    tracemalloc.start()
+    row, to = router.visits(x, np.full(len(x), 2.0), 1.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row) == len(to) == 4096 * 256 and most < 100e6
+
+
+def test_shards_travel_without_what_their_own_vectors_found():
+    from darkslide.llm import neighbours
+
+    r = np.random.default_rng(6)
+    raw = r.random((3000, 24)).astype(np.float32)
+    s = neighbours.Shard(raw, [[i] for i in range(3000)], 5, 1.0)
+    assert not hasattr(pickle.loads(pickle.dumps(s)), "own") and len(pickle.dumps(s, protocol=5)) < 1.5 * raw.nbytes
