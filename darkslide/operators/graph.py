@@ -31,7 +31,7 @@ def _star(adjacent: DataFrame, large: bool) -> DataFrame:
 
 
 #: Edges, at most, that one task ties together.
-FEW_EDGES = 100_000
+FEW_EDGES = 1 << 20
 
 
 def _in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

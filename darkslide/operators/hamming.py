@@ -14,7 +14,7 @@ Equal hashes are one vertex, so copies never meet each other.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -204,17 +204,17 @@ def counted_statistics(counts: Column) -> dict[str, Column]:
     return {"n": n, "least": F.array_min(seen), "greatest": F.array_max(seen), "mean": mean, "median": median, "deviation": F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))}
 
 
-def near_duplicate_groups(items: DataFrame, threshold: int = 8, exact: bool = True) -> DataFrame:
-    """(item_id, group_root) of ``items`` (item_id, h): root is the smallest item linked by chains of near hashes.
+def near_duplicate_groups(items: DataFrame, threshold: int = 8, exact: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """(item_id, ``keep``, group_root) of ``items`` (item_id, h): root is the smallest item linked by chains of near hashes.
 
     Items without a hash are groups of their own, as are items near no other. The result
     reads tables in the shared folder.
     """
-    i = items.select("item_id", "h").filter("item_id is not null").distinct()
+    i = items.select(*dict.fromkeys(["item_id", "h", *keep])).filter("item_id is not null").distinct()
     named = Written(i.filter("h is not null").groupBy("h").agg(F.min("item_id").alias("first"), F.count("*").alias("n")), "hashes").df
     pairs = hamming_pairs(named.select("h"), threshold, exact)
     a, b = named.select(F.col("h").alias("a"), F.col("first").alias("u")), named.select(F.col("h").alias("b"), F.col("first").alias("v"))
     roots = connected_components(pairs.join(a, "a").join(b, "b").select("u", "v")).select(F.col("item").alias("first"), "root")
     rooted = named.join(roots, "first", "left").select("h", "n", F.coalesce("root", "first").alias("root"))
     # Items without a hash, and those of a common one, are spread.
-    return skew_safe_lookup(i, "h", rooted, ["root"], "n").select("item_id", F.coalesce("root", "item_id").alias("group_root"))
+    return skew_safe_lookup(i, "h", rooted, ["root"], "n").select("item_id", *keep, F.coalesce("root", "item_id").alias("group_root"))

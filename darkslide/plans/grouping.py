@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,34 +137,99 @@ def g3_equal_hash_groups(spark, data):
     return skew_safe_lookup(i, "h", first, ["first"], "n").select("item_id", F.coalesce("first", "item_id").alias("group_root"))
 
 
-def _burst_merge(s: DataFrame, groups: DataFrame, burst: str) -> DataFrame:
-    """Groups that share a burst and come within MERGE_BITS of each other become one: (item_id, group_root)."""
-    g = s.select("item_id", "h", burst).join(groups, "item_id").filter(F.col("h").isNotNull() & F.col(burst).isNotNull())
-    g = Written(g.select(F.col(burst).cast("bigint").alias("burst"), "group_root", "h").distinct(), "bursts").df
-    few, many = by_size(g, "burst")
-    a, b = few.select("burst", F.col("group_root").alias("u"), F.col("h").alias("a")), few.select("burst", F.col("group_root").alias("v"), F.col("h").alias("b"))
-    close = a.join(b, "burst").filter((F.col("u") < F.col("v")) & (distance("a", "b") <= MERGE_BITS)).select("u", "v").distinct()
-    links = in_blocks(many, "burst", _close_groups, "u bigint, v bigint")
-    roots = connected_components(close.unionByName(links)).select(F.col("item").alias("group_root"), "root")
+#: Rows of a burst, at most, that are compared by shifting them against each other, and those that one task compares.
+SHIFTED, TOGETHER = 16, 1 << 15
+
+
+def _burst_merge(groups: DataFrame) -> DataFrame:
+    """Groups that share a burst and come within MERGE_BITS of each other become one: (item_id, group_root).
+
+    ``groups`` (item_id, group_root, h, burst) is a written table.
+    """
+    g = groups.filter("h is not null and burst is not null").select(F.col("burst").cast("bigint").alias("burst"), "group_root", "h").distinct()
+    large = Written(g.groupBy("burst").agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER), "bursts", rows=F.count("*"))
+    few = g.join(F.broadcast(large.df), "burst", "left_anti") if large.stats["rows"] else g
+    links = few.repartition("burst").sortWithinPartitions("burst").mapInArrow(_tie_bursts, "u bigint, v bigint")
+    if large.stats["rows"]:
+        many = g.join(F.broadcast(large.df.select("burst", F.ceil(F.col("n") / TOGETHER).alias("__blocks"))), "burst")
+        links = links.unionByName(in_blocks(many, "burst", _close_groups, "u bigint, v bigint"))
+    roots = connected_components(links).select(F.col("item").alias("group_root"), "root")
     return groups.join(roots, "group_root", "left").select("item_id", F.coalesce("root", "group_root").alias("group_root"))
 
 
+def _chained(h: np.ndarray) -> np.ndarray:
+    """For each hash the place of one that chains of hashes within MERGE_BITS tie it to, the same one for all of a chain.
+
+    Hashes found are not compared again with each other, so work seldom grows with the square:
+    no more than a few hundred hashes can be further apart than MERGE_BITS, each from each.
+    """
+    to, rest = np.arange(len(h)), np.arange(len(h))
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        found = [np.array([first])]
+        while found and len(rest):
+            now = found.pop()
+            step = max(1, (1 << 19) // len(rest))
+            if len(now) > step:
+                found.append(now[step:])
+            near = (bit_distances(h[now[:step]], h[rest]) <= MERGE_BITS).any(axis=0)
+            if near.any():
+                found.append(rest[near])
+                to[rest[near]] = first
+                rest = rest[~near]
+    return to
+
+
+def _tied(burst: np.ndarray, group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links to the least group of what the bursts of these rows, which are sorted by burst, tie together."""
+    start = np.flatnonzero(np.r_[True, burst[1:] != burst[:-1]])
+    n = np.diff(np.r_[start, len(burst)])
+    us, vs = [], []
+    k = np.flatnonzero(np.repeat(n <= SHIFTED, n))
+    for d in range(1, min(SHIFTED, len(burst))):
+        k = k[k + d < len(burst)]
+        k = k[burst[k] == burst[k + d]]
+        near = k[np.bitwise_count((h[k] ^ h[k + d]).view(np.uint64)) <= MERGE_BITS]
+        us, vs = [*us, group[near]], [*vs, group[near + d]]
+    for at, size in zip(start[n > SHIFTED], n[n > SHIFTED]):
+        own = group[at : at + size]
+        us, vs = [*us, own], [*vs, own[_chained(h[at : at + size])]]
+    return forest(np.concatenate(us), np.concatenate(vs)) if us else (group[:0], group[:0])
+
+
+def _tie_bursts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of the bursts of a partition sorted by burst; a burst that goes on in the next batch waits for it."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        u, v = _tied(*map(np.concatenate, zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        rows = tuple(c.to_numpy() for c in batch.columns)
+        if not len(rows[0]):
+            continue
+        last = np.searchsorted(rows[0], rows[0][-1])
+        if last or held and held[-1][0][-1] != rows[0][0]:
+            held.append(tuple(c[:last] for c in rows))
+            yield from links()
+            held = []
+        held.append(tuple(c[last:] for c in rows))
+    if held:
+        yield from links()
+
+
 def _close_groups(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """What ties the groups of two blocks together, as links to the least group."""
-    h, k = left["h"].to_numpy(np.int64), right["h"].to_numpy(np.int64)
-    g, r = left["group_root"].to_numpy(np.int64), right["group_root"].to_numpy(np.int64)
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(h), 512):
-        i, j = np.nonzero(bit_distances(h[at : at + 512], k) <= MERGE_BITS)
-        u, v = forest(g[at + i], r[j])
-        us, vs = [*us, u], [*vs, v]
-    u, v = forest(np.concatenate(us), np.concatenate(vs))
+    """What ties the groups of two blocks of a burst together, as links to the least group."""
+    both = pd.concat([left, right]).drop_duplicates(["group_root", "h"])
+    g, h = both["group_root"].to_numpy(np.int64), both["h"].to_numpy(np.int64)
+    u, v = forest(g, g[_chained(h)])
     return pd.DataFrame({"u": u, "v": v})
 
 
 def g4_burst_merge(spark, data):
     s = items(spark, data).select("item_id", hash_bits("phash").alias("h"), F.when(F.col("burst_id") != -1, F.col("burst_id")).alias("burst"))
-    return _burst_merge(s, near_duplicate_groups(s, NEAR_BITS), "burst")
+    return _burst_merge(Written(near_duplicate_groups(Written(s, "items").df, NEAR_BITS, keep=["h", "burst"]), "groups").df)
 
 
 def g6_prefix_groups(spark, data):
@@ -177,7 +245,7 @@ def g7_grouping(spark, data):
     s = Written(shots(spark, data).select("item_id", "camera_id", "us", "h", "score"), "shots").df
     s = gap_ids(s, "camera_id", "us", "item_id", SESSION_US, "session_id")
     s = Written(gap_ids(s, "camera_id", "us", "item_id", BURST_US, "burst_id", split_keys=False), "shots").df
-    merged = _burst_merge(s, near_duplicate_groups(s, NEAR_BITS), "burst_id")
+    merged = _burst_merge(Written(near_duplicate_groups(s.withColumnRenamed("burst_id", "burst"), NEAR_BITS, keep=["h", "burst"]), "groups").df)
     g = Written(s.join(merged, "item_id"), "grouped").df
     best = first_rows(g.select("group_root", "item_id", "score", "us"), ["group_root"], [F.desc("score"), F.asc("us"), F.asc("item_id")], 1)
     sizes = g.groupBy("group_root").agg(F.count("*").alias("group_size"))

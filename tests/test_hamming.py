@@ -92,3 +92,72 @@ def test_first_match_groups_take_no_join_of_keys(spark, monkeypatch):
         root[i] = root[same if same is not None else first] if first is not None else i
     assert {x.item_id: x.group_root for x in objects.g5_first_match_groups(spark, "").collect()} == root
     assert "Join" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def apart(r, n):
+    """Hashes around codes 32 bits apart, of which two to four bits decide whether they come within 30 of another's."""
+    codes = [sum(1 << k for k in range(64) if (k & c).bit_count() % 2) for c in r.sample(range(64), min(n, 5))]
+    return sorted({r.choice(codes) ^ sum(1 << k for k in r.sample(range(64), r.choice([0, 0, 0, 1, 1, 2]))) for _ in range(n)})
+
+
+def linked(links):
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for pair in links for x in pair}
+
+
+def close_in_bursts(rows):
+    """What links (burst, group, hash) by comparing each with each."""
+    return linked([(x[1], y[1]) for i, x in enumerate(rows) for y in rows[:i] if x[0] == y[0] and x[1] != y[1] and (x[2] ^ y[2]).bit_count() <= 30])
+
+
+def test_hashes_of_a_burst_are_not_all_compared_with_each_other(monkeypatch):
+    """Each with each, and a third of the pairs listed, was the square of a burst's hashes: 36 million for 6,000."""
+    import pandas as pd
+
+    from darkslide.plans import grouping
+
+    made, compared = grouping.bit_distances, []
+    monkeypatch.setattr(grouping, "bit_distances", lambda a, b: compared.append(len(a) * len(b)) or made(a, b))
+    r = random.Random(4)
+    rows = pd.DataFrame({"burst": 1, "group_root": range(6_000), "h": [signed(r.getrandbits(64)) for _ in range(6_000)]})
+    got = grouping._close_groups(rows, rows)
+    assert sorted(got["u"]) == list(range(1, 6_000)) and set(got["v"]) == {0}
+    assert sum(compared) < 1_000_000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bursts_of_any_size_are_tied_as_by_comparing_all(seed):
+    import pyarrow as pa
+
+    from darkslide.plans import grouping
+
+    r = random.Random(seed)
+    rows = [(b, 1000 * b + i if r.random() < .9 else r.randrange(50), h) for b in range(60) for i, h in enumerate(apart(r, r.choice([1, 2, 3, 15, 16, 17, 60])))]
+    cuts = [0, *sorted(r.sample(range(len(rows)), 12)), len(rows)]  # batches that end within bursts, or hold a part of one
+    batches = [pa.RecordBatch.from_pylist([{"burst": b, "group_root": g, "h": signed(h)} for b, g, h in rows[i:j]], pa.schema([(n, pa.int64()) for n in ("burst", "group_root", "h")])) for i, j in zip(cuts, cuts[1:])]
+    got = [(x["u"], x["v"]) for out in grouping._tie_bursts(iter(batches)) for x in out.to_pylist()]
+    assert linked(got) == close_in_bursts(rows)
+
+
+def test_large_bursts_in_blocks_merge_as_small_ones(spark, monkeypatch):
+    from darkslide.plans import grouping
+
+    r = random.Random(6)
+    made = [(h, b) for b, n in ((None, 9), (-1, 40), (1, 90), (2, 50), (3, 5), (4, 2)) for h in apart(r, n)]
+    df = spark.createDataFrame([(i, f"{h:016x}", b) for i, (h, b) in enumerate(made)], "item_id bigint, phash string, burst_id bigint")
+    monkeypatch.setattr(grouping, "items", lambda *_: df)
+    near = linked([(i, j) for i, x in enumerate(made) for j, y in enumerate(made[:i]) if (x[0] ^ y[0]).bit_count() <= 8])
+    merged = close_in_bursts([(b, near.get(i, i), h) for i, (h, b) in enumerate(made) if b not in (None, -1)])
+    want = {i: merged.get(near.get(i, i), near.get(i, i)) for i in range(len(made))}
+    for together in (1 << 15, 20):
+        monkeypatch.setattr(grouping, "TOGETHER", together)
+        assert {x.item_id: x.group_root for x in grouping.g4_burst_merge(spark, "").collect()} == want
